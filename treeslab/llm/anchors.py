@@ -33,6 +33,7 @@ class Contexts:
 
     start: np.ndarray
     count: np.ndarray
+    anchor: np.ndarray
     key: np.ndarray
     digest: np.ndarray
 
@@ -47,34 +48,35 @@ def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
-def contexts(symbols: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> Contexts:
-    """The contexts of sequences that lie one after another; sequence k is symbols[offsets[k]:offsets[k + 1]]."""
+def contexts(symbols: np.ndarray, grams: np.ndarray, gram: int, offsets: np.ndarray, width: int) -> Contexts:
+    """The contexts of sequences that lie one after another; sequence k is symbols[offsets[k]:offsets[k + 1]].
+
+    grams[i] is a hash of the ``gram`` symbols from i on.
+    """
     n = len(symbols)
     empty = np.zeros(0, dtype=np.int64)
     if n < width:
-        return Contexts(empty, empty, empty.astype(U64), empty.astype(U64))
-    first, second = RangeHash(symbols, 0), RangeHash(symbols, 1)
-    at = np.arange(n - gram + 1)
-    grams = first.of(at, at + gram)
+        return Contexts(empty, empty, empty, empty.astype(U64), empty.astype(U64))
     bits = U64(max(1, int(n).bit_length()))
-    packed = (grams >> bits << bits) | at.astype(U64)
+    packed = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     anchor = (sliding_least(packed, width - gram + 1) & ((U64(1) << bits) - U64(1))).astype(np.int64)
-    # windows that cross the end of a sequence don't exist
-    sizes = np.diff(offsets)
-    last = np.repeat(offsets[1:], sizes)[: len(anchor)]
     begin = np.arange(len(anchor))
-    exists = begin + width <= last
-    begin, anchor = begin[exists], anchor[exists]
-    if not len(begin):
-        return Contexts(empty, empty, empty.astype(U64), empty.astype(U64))
-    role = (anchor - begin > width // 2).astype(np.int64)
-    cut = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(role) != 0) | (np.diff(begin) != 1)) + 1
-    lo, hi = np.r_[0, cut], np.r_[cut, len(begin)]
-    start, count, point, side = begin[lo], hi - lo, anchor[lo], role[lo]
-    left = point - (width // 2 + 1)
-    a = np.where(side == 0, point, left)
-    b = np.where(side == 0, point + width - width // 2, point + gram)
-    # role 0 has at most width // 2 symbols before the anchor, so width - width // 2 from it on
-    key = mix(first.of(a, b) + side.astype(U64))
-    digest = mix(second.of(start, start + count - 1 + width) + (point - start).astype(U64))
-    return Contexts(start, count, key, digest)
+    # a run of windows with one anchor on one side of it; windows that cross the end of a sequence don't exist
+    side = anchor - begin > width // 2
+    edge = np.zeros(len(anchor), dtype=bool)
+    edge[0] = True
+    edge[1:] = (anchor[1:] != anchor[:-1]) | (side[1:] != side[:-1])
+    last = offsets[1:-1]
+    ends, heads = last - width + 1, last
+    edge[ends[(ends > 0) & (ends < len(anchor))]] = True
+    edge[heads[heads < len(anchor)]] = True
+    start = np.flatnonzero(edge)
+    count = np.diff(np.r_[start, len(anchor)])
+    whole = start + width <= offsets[np.minimum(np.searchsorted(offsets, start, side="right"), len(offsets) - 1)]
+    start, count = start[whole], count[whole]
+    point, role = anchor[start], side[start]
+    a = np.where(role, point - (width // 2 + 1), point)
+    b = np.where(role, point + gram, point + width - width // 2)
+    key = mix(RangeHash(symbols, 0).of(a, b) + role.astype(U64))
+    digest = mix(RangeHash(symbols, 1).of(start, start + count - 1 + width) + (point - start).astype(U64))
+    return Contexts(start, count, point, key, digest)

@@ -191,8 +191,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_window
     """doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated for each document.
 
     With one block of items nothing is shuffled. With more, each block's occurrences are written to
-    the shared folder and a document's parts are put together by its key; rows that share doc_id and
-    text are then one document.
+    the shared folder and a document's parts are put together by its key.
     """
     ship(docs.sparkSession)
     indexes = _indexes(docs, benchmark, width, block_windows)
@@ -217,8 +216,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_window
 
         return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, REPORT)
 
-    rows, plain = keyed(docs)
-    rows = rows if plain else rows.dropDuplicates(["rid"])
+    rows, _ = keyed(docs)
     parts = None
     while index is not None:
         held = docs.sparkSession.sparkContext.broadcast(index)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from treeslab.llm import blocks as B
 from treeslab.llm.components import components
-from treeslab.llm.shared import Bloom, bloom, keyed, shared_dir, ship, spool
+from treeslab.llm.shared import Bloom, bloom, free_name, keyed, numbered, shared_dir, ship, spool
 
 WORDS = 5
 BUCKETS, ROWS = 128, 4
@@ -294,23 +294,19 @@ def cluster(rows: DataFrame, percent: int = 85) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable), kept, for each row of docs."""
     rows, plain = keyed(docs)
-    found = cluster(rows if plain else rows.dropDuplicates(["rid"]), percent)
+    found = cluster(rows, percent)
     if plain:
         return found.select(F.col("rid").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("rid") == F.col("component")).alias("kept"))
     names = rows.select("rid", "doc_id")
-    top = names.distinct().select(F.col("rid").alias("component"), F.col("doc_id").alias("component_id"))
+    top = names.select(F.col("rid").alias("component"), F.col("doc_id").alias("component_id"))
     named = names.join(found, "rid").join(top, "component")
     return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of docs that are the least of their component, one row for each, all columns as they are."""
-    rows, plain = keyed(docs)
-    found = cluster(rows if plain else rows.dropDuplicates(["rid"]), percent)
-    gone = found.where("rid != component").select("rid")
-    if plain:
-        return docs.join(gone.select(F.col("rid").alias("doc_id")), "doc_id", "left_anti").select(docs.columns)
-    ids = rows.join(gone, "rid", "left_anti").select("doc_id", F.xxhash64("text", F.lit(1)).alias("h_")).distinct()
-    marked = docs.withColumn("h_", F.xxhash64(F.col("text"), F.lit(1)))
-    kept = marked.join(ids.withColumnRenamed("doc_id", "d_"), F.col("doc_id").cast("long").eqNullSafe(F.col("d_")) & (marked.h_ == ids.h_), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    name = free_name(docs, "rid")
+    rows, _ = numbered(docs, name)
+    found = cluster(rows.select(F.col(name).alias("rid"), F.col("text").cast("string").alias("text")), percent)
+    gone = found.where("rid != component").select(F.col("rid").alias(name))
+    return rows.join(gone, name, "left_anti").select(docs.columns)

@@ -70,20 +70,31 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, bool]:
-    """Columns rid (a long), doc_id, text, and whether rid is doc_id itself; rid orders as (doc_id, text hash), nulls first.
+def free_name(frame: DataFrame, name: str) -> str:
+    """The name, with underscores after it until no column has it."""
+    while name.lower() in {x.lower() for x in frame.columns}:
+        name += "_"
+    return name
 
-    Where doc_id is unique and never null, rid is doc_id itself. Otherwise rows that share both
-    doc_id and text are one document (they share a rid), and other documents are numbered.
+
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """docs with a long column that is unique and orders as doc_id does, and whether it is doc_id itself.
+
+    Where doc_id is unique and never null, it is. Otherwise the rows are numbered in the order of
+    (doc_id, text hash), nulls first, so each repeated row is a document of its own.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    clash = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1)
+    key = F.col("doc_id").cast("long")
+    clash = docs.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or k is null").limit(1)
     if clash.isEmpty():
-        return rows.select(F.col("doc_id").alias("rid"), "doc_id", "text"), True
-    rows = rows.withColumn("h", F.xxhash64("text", F.lit(1)))
-    ids = rows.select("doc_id", "h").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "h")
-    numbered = spool(ids.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("d long, h2 long, rid long"))
-    return rows.join(numbered, rows.doc_id.eqNullSafe(numbered.d) & (rows.h == numbered.h2)).select("rid", rows.doc_id, "text"), False
+        return docs.withColumn(name, key), True
+    return spool(docs.orderBy(key.asc_nulls_first(), F.xxhash64("text")).withColumn(name, F.monotonically_increasing_id())), False
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """Columns rid (see numbered), doc_id and text of docs, and whether rid is doc_id itself."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, plain = numbered(rows, "rid")
+    return rows.select("rid", "doc_id", "text"), plain
 
 
 class Bloom:
