@@ -197,12 +197,12 @@ def dereference(rows: DataFrame, ref: Column, tables: Tables) -> DataFrame:
     return rows.withColumn("target_ref", ref).join(objects, ["file_id", "target_ref"], "left").withColumn("found", F.when(F.col("target_ref").isNotNull(), F.coalesce("found", F.lit(False)))).drop("target_ref")
 
 
-def _one(tables: Tables, name: str, **values: object) -> DataFrame:
+def _one(tables: Tables, name: str, /, **values: object) -> DataFrame:
     frame = getattr(tables, name)
     return frame.sparkSession.createDataFrame([values], SCHEMAS[name])
 
 
-def _link(tables: Tables, file_id: str, group: str, title: str, **values: object) -> Tables:
+def _link(tables: Tables, file_id: str, group: str, title: str, /, **values: object) -> Tables:
     if not title or "/" in title:
         raise ValueError("a link's title has no /")
     mine = (F.col("file_id") == file_id) & (F.col("group_uuid") == group)
