@@ -7,8 +7,10 @@ a time (``array<string>`` keeps nested JSON as text); plain numbers are read in
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,7 +131,7 @@ def integer_hex(value: Column, base: str) -> Column:
         raise TypeError(f"{base} is no integer")
     size = bits // 8
     if (letter, bits) == ("U", 64):
-        value = F.when(value >= 2**63, value - 2**64).otherwise(value)
+        value = F.when(value >= F.lit(Decimal(2**63)), value - F.lit(Decimal(2**64))).otherwise(value)
     digits = F.right(F.lpad(F.hex(value.cast("long")), 16, "0"), F.lit(2 * size))
     return digits if order == "BE" else _swapped(digits, size)
 
@@ -140,7 +142,7 @@ def hex_integer(digits: Column, base: str) -> Column:
     size = bits // 8
     digits = digits if order == "BE" else _swapped(digits, size)
     whole = F.conv(digits, 16, 10).cast("decimal(20,0)")
-    signed = F.when(whole >= 2 ** (bits - 1), whole - 2**bits).otherwise(whole) if letter == "I" else whole
+    signed = F.when(whole >= F.lit(Decimal(2 ** (bits - 1))), whole - F.lit(Decimal(2**bits))).otherwise(whole) if letter == "I" else whole
     return signed.cast(Y.spark_type(base))
 
 
@@ -178,12 +180,10 @@ def float_hex(base: str) -> Callable[[Column], Column]:
     """Raw bytes of floats, as hex digits; by Arrow batches, since SQL has no view of a float's bits."""
     code = Y.number_code(base)
 
-    @F.pandas_udf("string")
-    def run(values: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def run(values: pd.Series) -> pd.Series:
         raw = values.to_numpy(dtype=code).tobytes().hex().upper()
         size = 2 * int(code[2:])
         return pd.Series([raw[k : k + size] for k in range(0, len(raw), size)], index=values.index).where(values.notna(), None)
 
-    return run
+    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")

@@ -3,7 +3,7 @@
     spark.dataSource.register(DocumentSource)
     spark.read.format("treeslab").option("path", folder).load().where("collection = 'datasets'")
 
-Equality filters on collection and uuid are taken over, so other objects are never turned into rows. Files are found and
+With spark.sql.python.filterPushdown.enabled, equality filters on collection and uuid are taken over, so other objects are never turned into rows. Files are found and
 read as local files; for other stores use ``documents.read``.
 """
 
