@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeslab.llm import chat, decontaminate, fmindex, lattice, mixing, neardup, pii, quality, suffixes, urls
+from treeslab.llm import chat, decontaminate, fmindex, lattice, mixing, neardup, oracles, pii, quality, suffixes, urls
 from treeslab.llm.shared import table
 
 
@@ -59,4 +59,11 @@ QUERIES = {
     f.__name__: f
     for f in (op1_decontamination, op2_pii, op3_mixing, op4_lm_scoring, op5_url_filters, op6_suffix_array_dedup, op7_near_dedup, op8_chat_formatting, op9_quality, op10_substring_dedup)
 }
-ORACLE: dict[str, str] = {"op5_url_filters": urls.oracle(), "op8_chat_formatting": chat.ORACLE}
+ORACLE: dict[str, str] = {
+    "op1_decontamination": oracles.OP1,
+    "op3_mixing": oracles.OP3,
+    "op5_url_filters": urls.oracle(),
+    "op7_near_dedup": oracles.OP7,
+    "op8_chat_formatting": chat.ORACLE,
+    "op10_substring_dedup": oracles.OP10,
+}
