@@ -384,8 +384,8 @@ def test_near_duplicates(docs, odd_docs, plain, odd_rows, empty):
     for frame, rows in ((docs, plain), (odd_docs, odd_rows)):
         want = brute_components(rows)
         assert sum(not x[3] for x in want) >= 5
-        assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id), r.kept) for r in neardup.near_duplicates(frame).collect()) == want
-    kept = neardup.keep_first(docs)
+        assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id), r.kept) for r in neardup.near_duplicates(frame, 85).collect()) == want
+    kept = neardup.keep_first(docs, 85)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(int(x[0]) for x in brute_components(plain) if x[3])
     assert neardup.keep_first(odd_docs).where("doc_id = 5").count() == 2  # two texts of one id; repeats of one are gone
     assert neardup.near_duplicates(empty).count() == 0
@@ -405,7 +405,7 @@ def test_chain_and_dense_group(spark, monkeypatch):
         rows.append((100 + k, " ".join(w)))
     want = brute_components([(a, b) for a, b in rows])
     monkeypatch.setattr(neardup, "BLOCK", 8)
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85)
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id), r.kept) for r in got.collect()) == want
 
 

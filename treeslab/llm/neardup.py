@@ -17,8 +17,8 @@ the Jaccard estimate; candidates within reach of the threshold are verified on t
 
 Nothing grows on the driver, and the only broadcasts are Bloom filters of bounded size.
 
-Chance of missing a pair at the threshold of 0.85: (1 - 0.85 ** 4) ** 32 < 1e-10 for the bands; the
-estimate's margin is five standard errors.
+Chance of missing a pair at a threshold of 0.8: (1 - 0.8 ** 4) ** 32 < 1e-7 for the bands, at 0.85 < 1e-10;
+the estimate's margin is five standard errors.
 
 Defined cases: a null or empty text, or one without words, has the empty set and is linked with
 nothing. Repeated rows are equal sets. Extra columns are left alone.
@@ -39,6 +39,8 @@ from treeslab.llm.components import components
 from treeslab.llm.shared import Bloom, bloom, free_name, keyed, numbered, shared_dir, ship, spool
 
 WORDS = 5
+#: Least similarity of a link, in hundredths.
+PERCENT = 80
 BUCKETS, ROWS = 128, 4
 BANDS = BUCKETS // ROWS
 MANTISSA = 10
@@ -247,7 +249,7 @@ def _decide(needed: DataFrame, sets: DataFrame, threshold: float, percent: int)
     return both.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def cluster(rows: DataFrame, percent: int = 85) -> DataFrame:
+def cluster(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """rid, n_shingles, component (the least rid reachable) for rows (rid, text) with unique rids."""
     shared_dir(rows.sparkSession)
     threshold = percent / 100
@@ -291,7 +293,7 @@ def cluster(rows: DataFrame, percent: int = 85) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable), kept, for each row of docs."""
     rows, plain = keyed(docs)
     found = cluster(rows, percent)
@@ -303,7 +305,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
+def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that are the least of their component, one row for each, all columns as they are."""
     name = free_name(docs, "rid")
     rows, _ = numbered(docs, name)
