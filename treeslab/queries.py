@@ -342,7 +342,7 @@ def _tree(spark: SparkSession, sf_dir: str) -> D.Tables:
         links=links,
         datasets=customer.select(file, ids["customer"].alias("uuid"), path.alias("alias"), kind.alias("type_json"), shape.alias("shape"), none.alias("creation_properties"), F.col("c_custkey").cast("string").alias("value_json")),
         datatypes=blank.datatypes,
-        attributes=wide.select(file, F.lit("datasets").alias("owner_collection"), "owner_uuid", "a.ordinal", "a.name", kind.alias("type_json"), shape.alias("shape"), "a.value_json"),
+        attributes=wide.select(file, F.lit("datasets").alias("owner_collection"), "owner_uuid", "a.ordinal", "a.name", F.when(F.col("a.name") == "segment", F.lit('{"class":"H5T_STRING","charSet":"H5T_CSET_UTF8","length":"H5T_VARIABLE","strPad":"H5T_STR_NULLTERM"}')).otherwise(kind).alias("type_json"), shape.alias("shape"), "a.value_json"),
         times=blank.times,
         acls=blank.acls,
     )
@@ -572,3 +572,51 @@ def validate_docs(spark, sf_dir):
     link = F.when(k % 7 == 2, '{"class":"H5L_TYPE_HARD","title":"x"}').otherwise('{"class":"H5L_TYPE_SOFT","title":"x","h5path":"/y"}')
     text = F.concat(F.lit("{"), root, F.lit('"apiVersion":"'), version, F.lit('","groups":{"r":{"links":['), link, F.lit("]}}}"))
     return V.validate(table(spark, sf_dir, "events").where("event_id < 700").select(F.concat(F.lit("e"), k).alias("file_id"), text.alias("text"))).select("file_id", "valid")
+
+
+# --- further operators ---------------------------------------------------------------------------------------
+
+
+@query("""select n_name as title, case n_nationkey % 4 when 0 then 'H5L_TYPE_HARD' when 1 then 'H5L_TYPE_SOFT' when 2 then 'H5L_TYPE_EXTERNAL' else 'H5L_TYPE_USER_DEFINED' end as class,
+case when n_nationkey % 4 = 0 then 'groups/n' || n_nationkey end as href, case when n_nationkey % 4 in (1, 2) then '/' || n_name end as h5path, case when n_nationkey % 4 = 2 then 'f' || n_regionkey end as file from nation""")
+def link_kinds(spark, sf_dir):
+    """What each class of links tells."""
+    k = F.col("n_nationkey") % 4
+    kind = F.when(k == 0, G.HARD).when(k == 1, G.SOFT).when(k == 2, G.EXTERNAL).otherwise(G.USER)
+    links = table(spark, sf_dir, "nation").select(F.lit("f").alias("file_id"), F.lit("g").alias("group_uuid"), F.col("n_name").alias("title"), kind.alias("class"), F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.lit("groups").alias("collection"), F.concat(F.lit("/"), F.col("n_name")).alias("h5path"), F.concat(F.lit("f"), F.col("n_regionkey")).alias("file"))
+    return G.link_items(links).select("title", "class", "href", "h5path", "file")
+
+
+@query("select n_nationkey, n_name as name, n_regionkey as region from nation")
+def positional_struct(spark, sf_dir):
+    """UTF-8 bytes decoded, and a list's entries by name."""
+    parts = codec.by_ordinal(F.array(F.encode("n_name", "UTF-8"), F.encode(F.col("n_regionkey").cast("string"), "UTF-8")), ["name", "region"])
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", parts.alias("r"))
+    return rows.select("n_nationkey", codec.utf8(F.col("r.name")).alias("name"), codec.utf8(F.col("r.region")).cast("int").alias("region"))
+
+
+@query("select * from (values ('a', 7, 1, 1), ('a', 8, 0, 1), ('b', 7, 1, 0)) t(obj, userid, read, update_)")
+def acl_upsert(spark, sf_dir):
+    """Rules are made, and later calls change only what they name."""
+    t = D.empty(spark, "root", "f")
+    for obj, user, flags in (("a", 7, {"read": 1}), ("b", 7, {"read": 1}), ("a", 8, {"update": 1}), ("a", 7, {"update": 1})):
+        t = M.set_acl(t, "f", obj, user, **flags)
+    return t.acls.select(F.col("obj_uuid").alias("obj"), "userid", F.col("read").cast("int").alias("read"), F.col("update").cast("int").alias("update_"))
+
+
+@query("select i, case i when 0 then '0,0' when 1 then '2,11' end as start, case i when 0 then '2,4' when 1 then '3,15' end as stop from (values (0), (1)) t(i)")
+def region_blocks(spark, sf_dir):
+    """Blocks that name their last element, as blocks that end before their stop, checked for their rank."""
+    blocks = S.inclusive_blocks([[[0, 0], [1, 3]], [[2, 11], [2, 14]]])
+    checked = S.region_blocks(blocks, 2)
+    text = lambda block, side: ",".join(str(axis[side]) for axis in block)
+    return spark.createDataFrame([(k, text(b, 0), text(b, 1)) for k, b in enumerate(checked)], "i int, start string, stop string")
+
+
+@query("select 'star' as file_id, 1 + (select count(*) from region) + (select count(*) from nation) as n_groups, (select count(*) from customer) as n_datasets, 3 * (select count(*) from customer) as n_attributes, '1.1.1' as version")
+def document_round_trip(spark, sf_dir):
+    """The whole tree written as one document and read again."""
+    back = D.from_texts(W.dump(_tree(spark, sf_dir)))
+    n = lambda frame, name: frame.groupBy("file_id").agg(F.count(F.lit(1)).alias(name))
+    out = back.files.select("file_id", F.col("api_version").alias("version"))
+    return out.join(n(back.groups, "n_groups"), "file_id").join(n(back.datasets, "n_datasets"), "file_id").join(n(back.attributes, "n_attributes"), "file_id")
