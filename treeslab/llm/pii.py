@@ -24,18 +24,21 @@ from pyspark.sql import functions as F
 #: Types and patterns, in the order they are tried at a place. (Fixed values.)
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "access_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "password": r"\b(?i:password|passwd|pwd)\s*[=:]\s*[^\s\"']+",
-    "token": r"\b(?i:token|secret|api_key|apikey)\s*[=:]\s*\"[^\"\s]+\"",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
-    "card": r"(?<!\d)\d{4}(?:[ -]?\d{4}){3}(?!\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    "access_key": r"(?=A)\bAKIA[0-9A-Z]{16}\b",
+    "password": r"(?=[Pp])\b(?i:password|passwd|pwd)\s*[=:]\s*[^\s\"']+",
+    "token": r"(?=[TtSsAa])\b(?i:token|secret|api_key|apikey)\s*[=:]\s*\"[^\"\s]+\"",
+    "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
+    "card": r"(?=\d)(?<!\d)\d{4}(?:[ -]?\d{4}){3}(?!\d)",
+    "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "phone": r"(?=[+(])(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?=\+)(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
 }
 #: Given names by gender; one of a list is replaced by another of the same list. (Fixed values.)
 MALE = ["Adam", "Carl", "David", "Felix", "Henry", "Ivan", "James", "John", "Luis", "Marc", "Oscar", "Paul", "Peter", "Robert", "Thomas", "Victor"]
 FEMALE = ["Alice", "Anna", "Carla", "Diana", "Elena", "Emma", "Helen", "Julia", "Laura", "Lucia", "Maria", "Mary", "Nina", "Olga", "Rosa", "Sarah"]
-PATTERNS["person"] = rf"\b(?:Mr|Mrs|Ms|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?|\b(?:{'|'.join(MALE + FEMALE)}) \p{{Lu}}\p{{Ll}}+"
+_TITLES = "Mr|Mrs|Ms|Herr|Frau|Señor|Señora|Monsieur|Madame"
+PATTERNS["person"] = rf"(?=[A-Z])\b(?:(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?|(?:{'|'.join(MALE + FEMALE)}) \p{{Lu}}\p{{Ll}}+)"
+#: What every text with an entity holds; other texts are left alone after one cheap scan.
+TRIGGER = rf"[0-9@=:]|(?=[A-Z])(?:{_TITLES}|{'|'.join(MALE + FEMALE)})[. ]"
 ANY = "|".join(f"(?:{x})" for x in PATTERNS.values())
 #: Letters that are shifted within their own row. (Fixed values.)
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àâäáãåæçèéêëìíîïñòóôöõøœùúûüýÿß", "ÀÂÄÁÃÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÖÕØŒÙÚÛÜÝŸ", "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
@@ -123,7 +126,7 @@ def replaced(text: Column, key: str = KEY) -> Column:
     """The text with every entity replaced."""
     between, found = F.split(text, ANY, -1), F.transform(entities(text), lambda e: surrogate(e, key))
     whole = F.concat_ws("", F.flatten(F.zip_with(between, found, lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))))
-    return F.when(text.rlike(ANY), whole).otherwise(text)
+    return F.when(text.rlike(TRIGGER), F.when(text.rlike(ANY), whole).otherwise(text)).otherwise(text)
 
 
 def mask(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -136,7 +139,7 @@ def collisions(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     Entities are made distinct before the shuffle, so a common entity costs a row a task.
     """
-    found = docs.where(F.col("text").rlike(ANY)).select(F.explode(entities(F.col("text"))).alias("entity")).distinct()
+    found = docs.where(F.col("text").rlike(TRIGGER)).select(F.explode(entities(F.col("text"))).alias("entity")).distinct()
     pairs = found.select(kind(F.col("entity")).alias("kind"), "entity", surrogate(F.col("entity"), key).alias("replacement"))
     return pairs.groupBy("kind", "replacement").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
@@ -144,5 +147,5 @@ def collisions(docs: DataFrame, key: str = KEY) -> DataFrame:
 def report(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text with surrogates, the number of entities, and their types in order, for each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = F.when(F.col("text").rlike(ANY), entities(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    found = F.when(F.col("text").rlike(TRIGGER), entities(F.col("text"))).otherwise(F.array().cast("array<string>"))
     return rows.select("doc_id", replaced(F.col("text"), key).alias("text"), F.coalesce(F.size(found), F.lit(0)).cast("long").alias("n_entities"), F.transform(found, kind).alias("kinds"))
