@@ -216,6 +216,19 @@ def train(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Pieces:
     return pieces
 
 
+def _often(judged: DataFrame) -> int:
+    """The least number of uses of words that are broadcast: the least power of 2 ** (1 / 8) that at most FREQUENT words reach."""
+    step = F.floor(F.log2("n") * 8)
+    sizes = judged.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n")).collect()  # a few hundred rows
+    least, total = 1 << 62, 0
+    for row in sorted(sizes, key=lambda r: -r.step):
+        total += row.words
+        if total > FREQUENT:
+            break
+        least = row.n
+    return least
+
+
 def score(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     spark = docs.sparkSession
@@ -242,7 +255,8 @@ def score(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(logs)], names=["h", "c", "n", "log"])
 
     judged = spool(words.select("h", "word", "c", "n").mapInArrow(judge, "h long, c long, n long, log double"))
-    common = judged.orderBy(F.col("n").desc(), "h").limit(FREQUENT).select("h", "c", "log").toPandas().sort_values("h", key=lambda x: x.to_numpy().view(np.uint64))
+    common = judged.where(F.col("n") >= _often(judged)).select("h", "c", "log").toPandas()
+    common = common.iloc[np.argsort(common.h.to_numpy().view(np.uint64))]
     spread = n_train + 0.5 * (distinct + 1)
     base = lambda c: np.log10((c + 0.5) / spread)
     often = spark.sparkContext.broadcast((common.h.to_numpy().view(np.uint64), common.c.to_numpy(), common.log.to_numpy()))
