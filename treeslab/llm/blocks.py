@@ -7,12 +7,13 @@ its own block), so a worker's memory does not depend on the batch size.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 U64 = np.uint64
 
 
@@ -24,6 +25,8 @@ def _random_words(seed: int, n: int) -> np.ndarray:
 BYTE_VALUE = _random_words(1, 256)
 BASES = _random_words(2, 4)
 _POWERS: dict[int, np.ndarray] = {}
+#: Gives freed memory back to the system, where the C library can.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -86,6 +89,9 @@ def blocks(texts: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Itera
             np.cumsum([len(x) + 1 for x in pieces[:-1]], out=offsets[1:])
             yield first, k + 1, data, offsets
             pieces, first, size = [], k + 1, 0
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def binary(column: pa.Array) -> pa.Array:
@@ -136,3 +142,17 @@ def runs(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
                 waiting.append(part)
     if waiting:
         yield pa.Table.from_batches(waiting)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Batches of small rows put together to at least so many rows each, but for the last."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()

@@ -201,7 +201,7 @@ def train(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Pieces:
         def expect(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             np.seterr(over="ignore", invalid="ignore")
             total = np.zeros(len(held.value.strings))
-            for batch in batches:
+            for batch in B.gathered(batches):
                 for _, group in by_length(batch.column(0)):
                     total += held.value.expected(group, np.ones(len(group)))
             used = np.flatnonzero(total)
@@ -247,7 +247,7 @@ def score(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        for batch in batches:
+        for batch in B.gathered(batches):
             logs = np.zeros(batch.num_rows)
             counts = batch.column(2).to_numpy()
             for at, group in by_length(batch.column(1)):

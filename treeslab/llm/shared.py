@@ -18,6 +18,9 @@ BLOOM_BITS_MAX = 1 << 29
 #: Rows of a side that may be broadcast; larger sides are joined by shuffle.
 BROADCAST_ROWS = 20_000
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
 _SHIPPED: set[str] = set()
 
 
@@ -57,8 +60,14 @@ def spool(frame: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package's code to the workers, wherever the driver found it."""
+    """Give this package's code to the workers, wherever the driver found it, and bound the batches that they get.
+
+    Where the session has Spark's own batch size, texts come in batches of BATCH_ROWS, so that a few
+    long ones fit in memory twice: in the executor and in its worker.
+    """
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
