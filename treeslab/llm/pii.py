@@ -38,7 +38,7 @@ FEMALE = ["Alice", "Anna", "Carla", "Diana", "Elena", "Emma", "Helen", "Julia",
 _TITLES = "Mr|Mrs|Ms|Herr|Frau|Señor|Señora|Monsieur|Madame"
 PATTERNS["person"] = rf"(?=[A-Z])\b(?:(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?|(?:{'|'.join(MALE + FEMALE)}) \p{{Lu}}\p{{Ll}}+)"
 #: What every text with an entity holds; other texts are left alone after one cheap scan.
-TRIGGER = rf"[0-9@=:]|(?=[A-Z])(?:{_TITLES}|{'|'.join(MALE + FEMALE)})[. ]"
+TRIGGER = rf"[0-9@=:]|AKIA|(?=[A-Z])(?:{_TITLES}|{'|'.join(MALE + FEMALE)})[. ]"
 ANY = "|".join(f"(?:{x})" for x in PATTERNS.values())
 #: Letters that are shifted within their own row. (Fixed values.)
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àâäáãåæçèéêëìíîïñòóôöõøœùúûüýÿß", "ÀÂÄÁÃÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÖÕØŒÙÚÛÜÝŸ", "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
