@@ -10,7 +10,7 @@ A surrogate is made by two rounds of shifts, forwards and backwards over the cha
 by a keyed hash of what was put out before. Each round is a bijection on the strings of one
 format, so different entities of a type never share a surrogate and the same entity always
 has the same one, in every document, without a table of all entities. ``collisions`` checks this against
-all entities of the corpus.
+all entities of a corpus, for whoever calls it; ``mask`` and ``report`` don't.
 
 Defined cases: a null text stays null, an empty one empty. Entities are replaced wherever they stand, in repeated rows
 alike. Extra columns stay.
@@ -73,11 +73,12 @@ def _scrambled(text: Column, key: str) -> Column:
 
 
 def _ip(entity: Column, key: str) -> Column:
-    """Each octet moved within 0..255 by a keyed hash of the octets before it, forwards and backwards."""
+    """Each octet moved within 0..255, or within 00..09, by a keyed hash of the octets before it, forwards and backwards."""
 
     def once(parts: Column, salt: str) -> Column:
         hashed = lambda done: F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit(key + salt), F.array_join(done, ".")), 256), 1, 8), 16, 10).cast("long"), F.lit(256))
-        step = lambda done, c: F.concat(done, F.array(F.pmod(c.cast("int") + hashed(done), F.lit(256)).cast("string")))
+        moved = lambda c, h: F.when(c.rlike("^0."), F.concat(F.lit("0"), F.pmod(c.cast("int") + h, F.lit(10)).cast("string"))).otherwise(F.pmod(c.cast("int") + h, F.lit(256)).cast("string"))
+        step = lambda done, c: F.concat(done, F.array(moved(c, hashed(done))))
         return F.aggregate(parts, F.array().cast("array<string>"), step)
 
     return F.array_join(F.reverse(once(F.reverse(once(F.split(entity, r"\."), "/ip1/")), "/ip2/")), ".")
@@ -135,7 +136,8 @@ def mask(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def collisions(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, replacement, n): surrogates that stand for several entities of a type, over all of docs. Empty by construction.
+    """(kind, replacement, n): surrogates that stand for several entities of a type, over all of docs. Empty by construction, unless three
+    scramblings in a row turn an unlisted given name into a listed one.
 
     Entities are made distinct before the shuffle, so a common entity costs a row a task.
     """
