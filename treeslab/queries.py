@@ -210,6 +210,28 @@ def fill_missing(spark, sf_dir):
     return S.filled(_sizes(spark, sf_dir).where("value > 25 and i0 < 100"), [100], 0)
 
 
+_EXTENT = "(select coalesce(max(p_partkey) + 1, 0) from part)"
+
+
+def _extent(sizes: DataFrame) -> int:
+    return sizes.agg(F.coalesce(F.max("i0") + 1, F.lit(0))).first()[0]
+
+
+@query(f"select i0, value from {_SIZES} union all select range as i0, -1 as value from range({_EXTENT}, {_EXTENT} + 10)")
+def resize_fill_whole(spark, sf_dir):
+    """The whole table's array grown by ten; resize_fill has the first places, as its SQL."""
+    sizes = _sizes(spark, sf_dir)
+    n = _extent(sizes)
+    return S.resize(sizes, [n], [n + 10], [None], -1)
+
+
+@query(f"select r.range as i0, coalesce(s.value, 0) as value from range(0, {_EXTENT}) r left join (select * from {_SIZES} where value > 25) s on s.i0 = r.range")
+def fill_missing_whole(spark, sf_dir):
+    """The whole table's array filled; fill_missing has the first places, as its SQL."""
+    sizes = _sizes(spark, sf_dir)
+    return S.filled(sizes.where("value > 25"), [_extent(sizes)], 0)
+
+
 @query("select i0, string_agg(cast(cast(round(value * 100) as bigint) as varchar), ',' order by i1) as row_text from " + _GRID + " where i0 < 30 and i1 < 5 group by i0")
 def nested_again(spark, sf_dir):
     """The long form back to nested lists, in order."""
