@@ -234,8 +234,18 @@ def fill_missing_whole(spark, sf_dir):
 
 @query("select i0, string_agg(cast(cast(round(value * 100) as bigint) as varchar), ',' order by i1) as row_text from " + _GRID + " where i0 < 30 and i1 < 5 group by i0")
 def nested_again(spark, sf_dir):
+    """The part that its SQL takes; nested_again_whole has all."""
+    return _nested(S.hyperslab(_grid(spark, sf_dir), S.slabs(["0:30", "0:5"], [200, 64])))
+
+
+@query("select i0, string_agg(cast(cast(round(value * 100) as bigint) as varchar), ',' order by i1) as row_text from " + _GRID + " group by i0")
+def nested_again_whole(spark, sf_dir):
+    """Every list, nested again from the whole long form."""
+    return _nested(_grid(spark, sf_dir))
+
+
+def _nested(part: DataFrame) -> DataFrame:
     """The long form back to nested lists, in order."""
-    part = S.hyperslab(_grid(spark, sf_dir), S.slabs(["0:30", "0:5"], [200, 64]))
     nested = S.to_nested(part.withColumnRenamed("i0", "row").withColumnRenamed("i1", "i0"), 1, ["row"])
     return nested.select(F.col("row").alias("i0"), F.array_join(F.transform("value", lambda x: F.round(x * 100).cast("long").cast("string")), ",").alias("row_text"))
 
