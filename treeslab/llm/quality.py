@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from treeslab.llm import blocks as B
 from treeslab.llm.shared import ship
 
-#: Most labelled documents of each quality that the CRF is fitted on, and most lines of one of them that take part.
+#: Most labelled documents of each quality that the CRF is fitted on; all their lines take part.
 SAMPLE_DOCS = 300
-SAMPLE_LINES = 200
+#: Most lines of training documents that are padded to one length together, unless one document has more.
+PADDED_LINES = 1 << 19
 #: Least share of a document's words that lie in content lines.
 CONTENT_SHARE = 0.5
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", dtype=np.uint8))
@@ -111,10 +112,21 @@ class Crf:
         return labels
 
 
-def train(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 200, rate: float = 0.1, shrink: float = 1e-4) -> Crf:
-    """Fit by gradient ascent (Adam) on the mean log-likelihood of the label sequences; deterministic."""
-    if len({int(v) for _, y in sequences for v in y}) < 2:
-        return Crf.blank()
+def _groups(sequences: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """All sequences in groups of at most PADDED_LINES after padding, or of one sequence."""
+    if len(sequences) * max(len(y) for _, y in sequences) <= PADDED_LINES:
+        return [sequences]
+    out: list[list[tuple[np.ndarray, np.ndarray]]] = []
+    for one in sorted(sequences, key=lambda s: -len(s[1])):
+        if out and (len(out[-1]) + 1) * len(out[-1][0][1]) <= PADDED_LINES:
+            out[-1].append(one)
+        else:
+            out.append([one])
+    return out
+
+
+def _padded(sequences: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Features, places with a line, labels as indicators, places with a line before them, and the moves that are seen."""
     longest = max(len(y) for _, y in sequences)
     n = len(sequences)
     x = np.zeros((n, longest, N_FEATURES))
@@ -122,10 +134,37 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 200, rat
     on = np.zeros((n, longest), dtype=bool)
     for k, (a, b) in enumerate(sequences):
         x[k, : len(b)], y[k, : len(b)], on[k, : len(b)] = a, b, True
-    total = on.sum()
     hot = np.eye(2)[y] * on[:, :, None]
     pair = on[:, 1:]
-    seen_moves = np.einsum("ktI,ktJ->IJ", hot[:, :-1] * pair[:, :, None], hot[:, 1:])
+    return x, on, hot, pair, np.einsum("ktI,ktJ->IJ", hot[:, :-1] * pair[:, :, None], hot[:, 1:])
+
+
+def _gradient(group: tuple[np.ndarray, ...], weights: np.ndarray, moves: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The gradient of the log-likelihood of a group's label sequences."""
+    x, on, hot, pair, seen_moves = group
+    n, longest = on.shape
+    emit = x @ weights.T
+    alpha, beta = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
+    alpha[:, 0] = emit[:, 0] + first
+    for t in range(1, longest):
+        new = np.logaddexp(alpha[:, t - 1, 0, None] + moves[0], alpha[:, t - 1, 1, None] + moves[1]) + emit[:, t]
+        alpha[:, t] = np.where(on[:, t, None], new, alpha[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        ahead = beta[:, t + 1] + emit[:, t + 1]
+        new = np.logaddexp(ahead[:, 0, None] + moves[:, 0], ahead[:, 1, None] + moves[:, 1])
+        beta[:, t] = np.where(on[:, t + 1, None], new, 0.0)
+    norm = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
+    one = np.exp(alpha + beta - norm[:, None, None]) * on[:, :, None]
+    two = np.exp(alpha[:, :-1, :, None] + moves + (emit + beta)[:, 1:, None, :] - norm[:, None, None, None]) * pair[:, :, None, None]
+    return np.r_[np.einsum("ktI,ktf->If", hot - one, x).ravel(), (seen_moves - two.sum(axis=(0, 1))).ravel(), (hot[:, 0] - one[:, 0]).sum(axis=0)]
+
+
+def train(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 200, rate: float = 0.1, shrink: float = 1e-4) -> Crf:
+    """Fit by gradient ascent (Adam) on the mean log-likelihood of the label sequences; deterministic."""
+    if len({int(v) for _, y in sequences for v in y}) < 2:
+        return Crf.blank()
+    groups = [_padded(some) for some in _groups(sequences)]
+    total = sum(on.sum() for _, on, *_ in groups)
     size = 2 * N_FEATURES + 6
     theta, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
 
@@ -133,21 +172,7 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 200, rat
         return t[: 2 * N_FEATURES].reshape(2, N_FEATURES), t[2 * N_FEATURES : 2 * N_FEATURES + 4].reshape(2, 2), t[-2:]
 
     for step in range(1, rounds + 1):
-        weights, moves, first = parts(theta)
-        emit = x @ weights.T
-        alpha, beta = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        alpha[:, 0] = emit[:, 0] + first
-        for t in range(1, longest):
-            new = np.logaddexp(alpha[:, t - 1, 0, None] + moves[0], alpha[:, t - 1, 1, None] + moves[1]) + emit[:, t]
-            alpha[:, t] = np.where(on[:, t, None], new, alpha[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            ahead = beta[:, t + 1] + emit[:, t + 1]
-            new = np.logaddexp(ahead[:, 0, None] + moves[:, 0], ahead[:, 1, None] + moves[:, 1])
-            beta[:, t] = np.where(on[:, t + 1, None], new, 0.0)
-        norm = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        one = np.exp(alpha + beta - norm[:, None, None]) * on[:, :, None]
-        two = np.exp(alpha[:, :-1, :, None] + moves + (emit + beta)[:, 1:, None, :] - norm[:, None, None, None]) * pair[:, :, None, None]
-        grad = np.r_[np.einsum("ktI,ktf->If", hot - one, x).ravel(), (seen_moves - two.sum(axis=(0, 1))).ravel(), (hot[:, 0] - one[:, 0]).sum(axis=0)] / total - shrink * theta
+        grad = sum(_gradient(group, *parts(theta)) for group in groups) / total - shrink * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Crf(*parts(theta))
@@ -162,7 +187,7 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Crf:
-    """Fit the CRF on the sample: at most ``sample`` documents of each quality reach the driver, with at most SAMPLE_LINES lines each."""
+    """Fit the CRF on the sample: at most ``sample`` documents of each quality reach the driver, whole."""
     marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = F.xxhash64("doc_id", F.lit(17))
     picked = None
@@ -172,8 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Crf:
     ids = {row.doc_id: row.quality for row in picked.collect()}
     if not ids:
         return Crf.blank()
-    head = F.substring_index("text", "\n", SAMPLE_LINES)
-    rows = docs.where(F.col("doc_id").isin(list(ids))).groupBy("doc_id").agg(F.min(head).alias("text")).collect()
+    rows = docs.where(F.col("doc_id").isin(list(ids))).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     sequences = []
     for row in sorted(rows, key=lambda r: r.doc_id):
         raw = np.frombuffer(((row.text or "") + " ").encode(), dtype=np.uint8)
