@@ -32,8 +32,6 @@ from treeslab.llm import blocks as B
 from treeslab.llm.shared import numbered, ship, spool
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Bytes of the longest piece that is used.
-LONGEST = 16
 ROUNDS = 2
 #: Taken from the count of each word that training has seen, and given to the pieces.
 DISCOUNT = 0.75
@@ -60,7 +58,7 @@ class Pieces:
         hashes = B.RangeHash(B.BYTE_VALUE[data], 0).of(stop - lengths, stop)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
-        self.longest = int(lengths.max())
+        self.sizes = np.unique(lengths)[::-1]
 
     @classmethod
     def read(cls, path: str = VOCABULARY) -> Pieces:
@@ -71,7 +69,7 @@ class Pieces:
                 text, number = line.split()
                 piece = base64.b64decode(text)
                 bare = piece[1:] if piece[:1] == b" " else piece
-                if 0 < len(piece) <= LONGEST and not any(0x41 <= c <= 0x5A or c == 0x20 or 0x09 <= c <= 0x0D for c in bare):
+                if piece and not any(0x41 <= c <= 0x5A or c == 0x20 or 0x09 <= c <= 0x0D for c in bare):
                     rank[piece] = int(number)
         strings = sorted(rank, key=rank.get)
         weight = 1.0 / (np.array([rank[x] for x in strings]) + 1.0)
@@ -86,7 +84,7 @@ class Pieces:
         forward = np.full((n, length + 1), -np.inf)
         forward[:, 0] = 0.0
         for j in range(1, length + 1):
-            starts = np.arange(max(0, j - self.longest), j)
+            starts = j - self.sizes[self.sizes <= j]
             hashes = flat.of(row[:, None] + starts, row[:, None] + j)
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             found = self.hashes[at] == hashes
