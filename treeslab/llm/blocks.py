@@ -14,32 +14,50 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 18
+#: Bytes whose prefix sums are held at a time.
+HASHED_BYTES = 1 << 20
+#: Values that are summed together.
+STEP = 1 << 13
 U64 = np.uint64
 
 
+#: The greatest two primes below 2 ** 32, as what they lack of it. Products of residues fit in 64 bits.
+SHORT = (U64(5), U64(17))
+PRIMES = tuple(U64((1 << 32) - int(c)) for c in SHORT)
+LOW32 = U64(0xFFFFFFFF)
+
+
 def _random_words(seed: int, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, n, dtype=np.uint64) * U64(2) + U64(1)
 
 
-#: One random odd number for each byte value, and odd bases of the rolling hashes.
+#: One random odd number for each byte value, odd factors, and the bases of the rolling hashes, one for each prime.
 BYTE_VALUE = _random_words(1, 256)
 BASES = _random_words(2, 4)
-_POWERS: dict[int, np.ndarray] = {}
+ROOTS = np.stack([_random_words(3 + k, 4) % (PRIMES[k] - U64(2)) + U64(2) for k in range(2)])
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
 #: Gives freed memory back to the system, where the C library can.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    have = _POWERS.get(base)
+def _folded(x: np.ndarray, k: int) -> np.ndarray:
+    """x modulo PRIMES[k], by 2 ** 32 = SHORT[k]."""
+    x = (x >> U64(32)) * SHORT[k] + (x & LOW32)
+    x = (x >> U64(32)) * SHORT[k] + (x & LOW32)
+    return np.minimum(x, x - PRIMES[k])  # the difference wraps around where x is the less
+
+
+def powers(base: int, k: int, n: int) -> np.ndarray:
+    """ROOTS[k, base] ** 0 .. ** (n - 1) modulo PRIMES[k]; for base below 0 those of the inverse of ROOTS[k, -base - 1]."""
+    have = _POWERS.get((base, k))
     if have is None or len(have) < n:
-        size = max(n, 1 << 12)
-        have = np.full(size, BASES[base] if base >= 0 else U64(pow(int(BASES[-base - 1]), -1, 1 << 64)), dtype=np.uint64)
-        have[0] = 1
-        with np.errstate(over="ignore"):
-            have = np.multiply.accumulate(have)
-        if size <= 1 << 22:
-            _POWERS[base] = have
+        prime = int(PRIMES[k])
+        root = int(ROOTS[k, base]) if base >= 0 else pow(int(ROOTS[k, -base - 1]), -1, prime)
+        have = np.ones(1, dtype=np.uint64)
+        while len(have) < max(n, 1 << 12):
+            have = np.r_[have, _folded(have * U64(pow(root, len(have), prime)), k)]
+        if len(have) <= 1 << 21:
+            _POWERS[base, k] = have
     return have[:n]
 
 
@@ -55,19 +73,40 @@ def mix(x: np.ndarray) -> np.ndarray:
 class RangeHash:
     """Hashes of any ranges of a sequence of 64-bit values, by prefix sums.
 
-    The hash of [a, b) is the sum of value[i] * base ** (i - a), mixed: it depends on the
-    values and their number alone, not on where the range starts.
+    The hash of [a, b) is the sum of value[i] * root ** (i - a) modulo two primes, mixed with the length: it
+    depends on the values and their number alone, not on where the range starts. (Sums modulo 2 ** 64 would
+    not do: there long sequences over two values are equal whatever the root is.)
     """
 
-    def __init__(self, values: np.ndarray, base: int = 0):
-        self.base = base
-        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values * powers(base, len(values)), out=self.sums[1:])
-        self.back = powers(-base - 1, len(values) + 1)
+    def __init__(self, values: np.ndarray, base: int = 0, table: np.ndarray | None = None):
+        """table: numbers that stand for the values 0, 1, ..; for bytes."""
+        n = len(values)
+        self.sums, self.back = [], []
+        high = np.empty(STEP, dtype=np.uint64)
+        for k in range(2):
+            sums = np.zeros(n + 1, dtype=np.uint64)
+            power = powers(base, k, n)
+            rests = None if table is None else _folded(table, k)
+            for lo in range(0, n, STEP):  # small steps stay in the cache
+                part, up = sums[lo + 1 : min(n, lo + STEP) + 1], high[: min(n - lo, STEP)]
+                if rests is None:
+                    part[:] = _folded(values[lo : lo + STEP], k)
+                else:
+                    np.take(rests, values[lo : lo + STEP], out=part, mode="clip")
+                part *= power[lo : lo + STEP]
+                np.right_shift(part, U64(32), out=up)
+                up *= SHORT[k]
+                part &= LOW32
+                part += up  # below 2 ** 37, so 2 ** 27 of them can be summed
+                np.cumsum(part, out=part)
+                part += sums[lo]
+            self.sums.append(sums)
+            self.back.append(powers(-base - 1, k, n + 1))
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         length = np.asarray(stop - start).astype(np.uint64)
-        return mix((self.sums[stop] - self.sums[start]) * self.back[start] + length * U64(0x9E3779B97F4A7C15))
+        one, two = (_folded(_folded(self.sums[k][stop] - self.sums[k][start], k) * self.back[k][start], k) for k in range(2))
+        return mix((one << U64(32) | two) + length * U64(0x9E3779B97F4A7C15))
 
 
 def blocks(texts: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -119,7 +158,16 @@ def words(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray = SPACES) -> t
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, base: int = 0) -> np.ndarray:
-    return RangeHash(BYTE_VALUE[data], base).of(starts, stops)
+    """A hash of each word; long texts are hashed a part at a time, so the sums stay near HASHED_BYTES (or one word)."""
+    if len(data) <= 2 * HASHED_BYTES:
+        return RangeHash(data, base, BYTE_VALUE).of(starts, stops)
+    out, first = np.empty(len(starts), dtype=np.uint64), 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(stops, starts[first] + HASHED_BYTES, side="right")))
+        at = int(starts[first])
+        out[first:last] = RangeHash(data[at : int(stops[last - 1])], base, BYTE_VALUE).of(starts[first:last] - at, stops[first:last] - at)
+        first = last
+    return out
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:

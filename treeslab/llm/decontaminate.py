@@ -5,19 +5,22 @@ is a set of positioned shingles of up to three words. Shingles are ordered by ho
 in the corpus; a document that holds a window must hold the window's whole prefix, which for
 exact containment is its rarest shingle alone. So only places with a prefix shingle are looked at:
 the window's offset from the shingle must leave room for the whole window (positional and
-length bounds), and then its words are compared.
+length bounds). Shingles and words are looked up by hash; what is found is then confirmed
+on the words' bytes.
 
 Benchmark items go to the workers in blocks of at most ``block_windows`` windows, each a broadcast of
-bounded size; documents are scanned once to count the shingles and once to match, for each block.
+bounded size. One scan of the documents counts the shingles of all blocks; one scan for each block matches.
 
 Defined cases: null or empty texts have no words. Items without words or with a null id are
-ignored; repeated items are one. Rows are judged each for itself. Very long texts are matched whole.
+ignored; repeated items are one. Rows are judged each for itself, repeated ones alike. Very long texts are matched
+whole. An empty table gives no rows, an empty benchmark no hits. Extra columns are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeslab.llm import blocks as B
-from treeslab.llm.shared import keyed, ship, spool
+from treeslab.llm.shared import bloom, free_name, keyed, numbered, ship, spool
 
 WIDTH = 10
 SHINGLE = 3
@@ -37,17 +40,19 @@ class Index:
     """The windows of a block of items, by their words' hashes."""
 
     def __init__(self, items: list[tuple[int, bytes]], width: int = WIDTH):
-        spans: dict[tuple, set[int]] = {}
+        spans: dict[tuple[bytes, ...], set[int]] = {}
         for item, text in items:
             data = np.frombuffer(B.LOWER[np.frombuffer(text + b" ", dtype=np.uint8)].tobytes(), dtype=np.uint8)
             starts, stops, _ = B.words(data, np.array([0, len(data)]), B.NOT_ALNUM)
-            hashes = B.word_hashes(data, starts, stops).tolist()
-            for k in range(max(1, len(hashes) - width + 1) if hashes else 0):
-                spans.setdefault(tuple(hashes[k : k + width]), set()).add(item)
+            words = [data[a:b].tobytes() for a, b in zip(starts.tolist(), stops.tolist())]
+            for k in range(max(1, len(words) - width + 1) if words else 0):
+                spans.setdefault(tuple(words[k : k + width]), set()).add(item)
         self.lengths = np.array([len(x) for x in spans], dtype=np.int64)
         self.words = np.zeros((len(spans), width), dtype=np.uint64)
-        for k, x in enumerate(spans):
-            self.words[k, : len(x)] = x
+        self.texts = [b" ".join(x) for x in spans]
+        data = np.frombuffer(b" ".join(self.texts) + b" ", dtype=np.uint8)
+        starts, stops, _ = B.words(data, np.array([0, len(data)]))
+        self.words[np.arange(width) < self.lengths[:, None]] = B.word_hashes(data, starts, stops)
         self.items = [np.array(sorted(x)) for x in spans.values()]
         self.vocabulary = np.unique(self.words[self.words != 0])
         # all shingles of all windows: (window, offset, hash); a window of fewer words is one shingle
@@ -126,47 +131,93 @@ def find(index: Index, hashes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate(places), np.concatenate(windows)
 
 
-def _block(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+@dataclass
+class Block:
+    """The words of rows first .. last - 1 of a batch: row first + k has the words of[k] .. of[k + 1] - 1."""
+
+    first: int
+    last: int
+    low: np.ndarray
+    starts: np.ndarray
+    stops: np.ndarray
+    of: np.ndarray
+    hashes: np.ndarray
+
+    def found(self, index: Index) -> tuple[np.ndarray, np.ndarray]:
+        """find, confirmed on the words' bytes."""
+        place, window = find(index, self.hashes, self.of)
+        same = np.zeros(len(place), dtype=bool)
+        for k, (p, w) in enumerate(zip(place.tolist(), window.tolist())):
+            span = slice(p, p + int(index.lengths[w]))
+            same[k] = index.texts[w] == b" ".join([self.low[a:b].tobytes() for a, b in zip(self.starts[span].tolist(), self.stops[span].tolist())])
+        return place[same], window[same]
+
+
+def _block(batch: pa.RecordBatch, column: int) -> Iterator[Block]:
     for first, last, data, offsets in B.blocks(B.binary(batch.column(column))):
         low = B.LOWER[data]
         starts, stops, of = B.words(low, offsets, B.NOT_ALNUM)
-        yield first, last, B.word_hashes(low, starts, stops), of
+        yield Block(first, last, low, starts, stops, of, B.word_hashes(low, starts, stops))
 
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, width: int, block_windows: int) -> Iterator[Index]:
     """Ranked indexes of the benchmark's blocks. Items are read one by one, so the driver holds one block."""
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
     held: list[tuple[int, bytes]] = []
+    counts = None
     size = 0
     for row in rows.toLocalIterator():
         held.append((row[0], row[1].encode()))
         size += len(row[1]) // 3 + 1
         if size >= block_windows:
-            yield _ranked(docs, Index(held, width))
+            counts = spool(_counts(docs, _shingles(rows, width))) if counts is None else counts
+            yield _ranked(counts, Index(held, width))
             held, size = [], 0
-    yield _ranked(docs, Index(held, width))
+    if counts is None:
+        counts = _counts(docs, _shingles(rows, width))
+    yield _ranked(counts, Index(held, width))
 
 
-def _ranked(docs: DataFrame, index: Index) -> Index:
-    """Order the index's shingles by their counts over all documents."""
+def _shingles(rows: DataFrame, width: int) -> DataFrame:
+    """The distinct shingle hashes (value) of all items (item_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        total = np.zeros(len(index.shingles), dtype=np.int64)
         for batch in batches:
-            for _, _, hashes, of in _block(batch, 0):
-                doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
-                for _, _, value in doc_shingles(index, hashes, doc):
-                    at = np.minimum(np.searchsorted(index.shingles, value), max(0, len(index.shingles) - 1))
-                    total += np.bincount(at[index.shingles[at] == value], minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(index.shingles[used].astype(np.uint64).view(np.int64)), pa.array(total[used])], names=["value", "n"])
-
-    if len(index.shingles):
-        counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
-        index.rank({row.value: row.n for row in counts.toLocalIterator()})  # one row for each shingle of the block at most
-    else:
-        index.rank({})
+            index = Index([(0, x.encode()) for x in batch.column(1).to_pylist()], width)
+            yield pa.RecordBatch.from_arrays([pa.array(index.shingles.astype(np.uint64).view(np.int64))], names=["value"])
+
+    return rows.mapInArrow(run, "value long").distinct()
+
+
+def _counts(docs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """value, n: how often the shingles (value) occur in all documents, and a few others that the filter lets through."""
+    held = docs.sparkSession.sparkContext.broadcast(bloom(shingles, "value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for batch in batches:
+            for block in _block(batch, 0):
+                doc = np.repeat(np.arange(len(block.of) - 1), np.diff(block.of))
+                for size in range(1, SHINGLE + 1):
+                    n = len(block.hashes) - size + 1
+                    if n > 0:
+                        value = joined(np.stack([block.hashes[k : n + k] for k in range(size)], axis=1))[doc[:n] == doc[size - 1 :]]
+                        value, times = np.unique(value[held.value.holds(value)], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times)], names=["value", "n"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+
+
+def _ranked(counts: DataFrame, index: Index) -> Index:
+    """Order the index's shingles by their counts over all documents."""
+    shingles = np.sort(index.shingles.astype(np.uint64).view(np.int64))
+
+    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(np.isin(batch.column(0).to_numpy(zero_copy_only=False), shingles)))
+
+    index.rank({row.value: row.n for row in counts.mapInArrow(mine, counts.schema).toLocalIterator()})  # one row for each shingle of the block at most
     return index
 
 
@@ -197,13 +248,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_window
     indexes = _indexes(docs, benchmark, width, block_windows)
     index, later = next(indexes), next(indexes, None)
 
-    def occurrences(index: Index, hashes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
-        place, window = find(index, hashes, of)
-        which = np.searchsorted(of, place, side="right") - 1
-        items: list[set[str]] = [set() for _ in of[1:]]
+    def occurrences(index: Index, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
+        place, window = block.found(index)
+        which = np.searchsorted(block.of, place, side="right") - 1
+        items: list[set[str]] = [set() for _ in block.of[1:]]
         for d, w in set(zip(which.tolist(), window.tolist())):
             items[d].update(map(str, index.items[w].tolist()))
-        return which, place - of[which], index.lengths[window], items
+        return which, place - block.of[which], index.lengths[window], items
 
     if later is None:
         held = docs.sparkSession.sparkContext.broadcast(index)
@@ -211,8 +262,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_window
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.seterr(over="ignore")
             for batch in batches:
-                for first, last, hashes, of in _block(batch, 1):
-                    yield _report(batch.column(0)[first:last], np.diff(of), *occurrences(held.value, hashes, of))
+                for block in _block(batch, 1):
+                    yield _report(batch.column(0)[block.first : block.last], np.diff(block.of), *occurrences(held.value, block))
 
         return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, REPORT)
 
@@ -224,11 +275,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_window
         def part(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             np.seterr(over="ignore")
             for batch in batches:
-                for first, last, hashes, of in _block(batch, 2):
-                    which, start, length, items = occurrences(held.value, hashes, of)
+                for block in _block(batch, 2):
+                    which, start, length, items = occurrences(held.value, block)
+                    first, last = block.first, block.last
                     at = [which == k for k in range(last - first)]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0)[first:last], batch.column(1)[first:last], pa.array(np.diff(of)), pa.array([start[x] for x in at], pa.list_(pa.int64())), pa.array([length[x] for x in at], pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                        [batch.column(0)[first:last], batch.column(1)[first:last], pa.array(np.diff(block.of)), pa.array([start[x] for x in at], pa.list_(pa.int64())), pa.array([length[x] for x in at], pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
                         names=["rid", "doc_id", "n_words", "start", "length", "items"],
                     )
 
@@ -253,20 +305,36 @@ def digest(items: list[str]) -> str:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The rows of docs that hold no window of the benchmark, all columns as they are. No shuffle; block after block."""
+    """The rows of docs that hold no window of the benchmark, all columns as they are.
+
+    With one block of items there is no shuffle. With more, the keys of rows that go are gathered block by block, and taken off by one join.
+    """
     ship(docs.sparkSession)
-    place_of = docs.columns.index("text")
-    passed = None
-    for index in _indexes(docs, benchmark, width, block_windows):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+    indexes = _indexes(docs, benchmark, width, block_windows)
+    index, later = next(indexes), next(indexes, None)
+
+    def judged(frame: DataFrame, index: Index, dirty: bool) -> DataFrame:
+        """The rows of a frame with a text that hold a window, or don't."""
+        held = frame.sparkSession.sparkContext.broadcast(index)
+        place_of = frame.columns.index("text")
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.seterr(over="ignore")
             for batch in batches:
-                for first, last, hashes, of in _block(batch, place_of):
-                    dirty = np.zeros(last - first, dtype=bool)
-                    dirty[np.searchsorted(of, find(held.value, hashes, of)[0], side="right") - 1] = True
-                    yield batch.slice(first, last - first).filter(pa.array(~dirty))
+                for block in _block(batch, place_of):
+                    hit = np.zeros(block.last - block.first, dtype=bool)
+                    hit[np.searchsorted(block.of, block.found(held.value)[0], side="right") - 1] = True
+                    yield batch.slice(block.first, block.last - block.first).filter(pa.array(hit == dirty))
+
+        return frame.mapInArrow(run, frame.schema)
 
-        passed = (docs if passed is None else spool(passed)).mapInArrow(run, docs.schema)
-    return passed
+    if later is None:
+        return judged(docs, index, False)
+    name = free_name(docs, "rid")
+    rows, _ = numbered(docs, name)
+    gone = None
+    while index is not None:
+        found = spool(judged(rows.select(name, "text"), index, True).select(name))
+        gone = found if gone is None else gone.unionByName(found)
+        index, later = later, next(indexes, None)
+    return rows.join(gone.distinct(), name, "left_anti").select(docs.columns)

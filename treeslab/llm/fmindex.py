@@ -3,13 +3,13 @@
 Removes each word covered by a window of ``WIDTH`` words whose word sequence also starts earlier (in
 a document of smaller id, or earlier in the same one).
 
-The texts of a shard are contexts of anchors (``repeated``): each distinct one once, with its first
+The texts of a shard are contexts of anchors (``repeated``): each distinct one once, with its number and first
 occurrence. They are put one after another, each closed by a separator, and the Burrows-Wheeler
 transform of the whole is kept as a wavelet matrix: one bit vector for each bit of the word numbers,
 packed, with running counts. Backward search extends a match to the left word by word; the number
-of words matched when the suffix range dies is the matching statistic of a position. Windows of
-length WIDTH whose range still holds several suffixes are repeated; the least first occurrence among the range's
-suffixes, by a sparse table of minima, is the window's first occurrence, which stays.
+of words matched while the suffix range holds two occurrences is the matching statistic of a position. Windows of
+length WIDTH that are matched whole are repeated; the least first occurrence among the range's
+suffixes, by a sparse table of minima, is the window's first occurrence, which stays. Nothing else decides.
 
 Documents stream in blocks through the searches of their shard; all positions of a block step together.
 
@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from treeslab.llm import blocks as B
 from treeslab.llm import repeated as R
 from treeslab.llm.shared import keyed
-from treeslab.llm.suffixes import answers
 
 WIDTH = 20
 #: Windows that are searched together.
@@ -82,9 +81,9 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FmIndex:
-    """An index of texts of word numbers (from 1 on), with the rank of each text's first occurrence."""
+    """An index of texts of word numbers (from 1 on), with the rank of each text's first occurrence and how often it occurs."""
 
-    def __init__(self, texts: np.ndarray, base: np.ndarray, first: np.ndarray, alphabet: int):
+    def __init__(self, texts: np.ndarray, base: np.ndarray, first: np.ndarray, alphabet: int, weight: np.ndarray | None = None):
         n_texts = len(base) - 1
         lengths = np.diff(base)
         end = base[1:] + np.arange(n_texts)
@@ -96,6 +95,7 @@ class FmIndex:
         self.wavelet = Wavelet(whole[order - 1], max(1, int(alphabet).bit_length()))
         self.less = np.r_[0, np.cumsum(np.bincount(whole, minlength=alphabet + 1))]
         text_of = np.repeat(np.arange(n_texts), lengths + 1)
+        self.weights = np.r_[0, np.cumsum(np.ones(len(order), dtype=np.int64) if weight is None else weight[text_of[order]])]
         self.minima = [first[text_of[order]].astype(np.int32)]
         while (1 << len(self.minima)) <= len(order):
             last, half = self.minima[-1], 1 << (len(self.minima) - 1)
@@ -116,63 +116,71 @@ class FmIndex:
             out[at] = np.minimum(self.minima[k][lo[at]], self.minima[k][hi[at] - (1 << int(k))])
         return out
 
-    def statistics(self, query: np.ndarray, stop: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For positions [stop - longest, stop): words matched backwards from stop while several suffixes match, and the range at the end."""
+    def statistics(self, query: np.ndarray, stop: np.ndarray, longest: int | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each stop: words matched backwards from it while the match occurs twice (``longest`` at most), and the range at the end."""
         lo, hi = np.zeros(len(stop), dtype=np.int64), np.full(len(stop), self.n, dtype=np.int64)
         matched = np.zeros(len(stop), dtype=np.int64)
+        longest = np.broadcast_to(longest, len(stop))
         alive = np.arange(len(stop))
-        for k in range(1, longest + 1):
+        k = 0
+        while len(alive):
+            k += 1
+            alive = alive[longest[alive] >= k]
             a, b = self.extend(query[stop[alive] - k], lo[alive], hi[alive])
-            more = b - a > 1  # a window's own suffix is in the index, so one match is none
+            more = self.weights[b] - self.weights[a] > 1  # a window's own suffix is in the index, so one occurrence is none
             alive = alive[more]
             lo[alive], hi[alive] = a[more], b[more]
             matched[alive] = k
-            if not len(alive):
-                break
         return matched, lo, hi
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream a shard's texts against its index: the windows whose first occurrence is in another text."""
+    """Stream a shard's texts against its index: the windows that occur twice, and where they do first."""
     np.seterr(over="ignore")
-    waiting: list[pa.Table] = []
-    size = 0
-    for table in B.runs(batches):  # the texts of one key, which meet in one index
-        if table.num_rows > 1:
-            waiting.append(table)
-            size += table.num_rows
-        if size >= 1 << 14:
-            yield _shard(pa.concat_tables(waiting))
-            waiting, size = [], 0
-    if waiting:
-        yield _shard(pa.concat_tables(waiting))
+    tables = list(R.arriving(batches, 1 << 15))
+    if tables:
+        yield _shard(pa.concat_tables(tables))
 
 
 def _shard(table: pa.Table) -> pa.RecordBatch:
+    """The answers of a shard's texts, one row for each.
+
+    A text is matched from its end as a whole first: where all of it occurs twice, as in copies, so do all of its windows. But the first occurrence
+    of a window may be in another text, so where others share the key, and where the whole fails, each window is searched.
+    """
     table = table.combine_chunks()
-    key, digest, rid = (table.column(k).to_numpy() for k in (0, 1, 2))
-    once = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(digest) != 0)])  # sorted, so the first of equal texts
-    start, count = (table.column(k).to_numpy()[once].astype(np.int64) for k in (3, 4))
-    anchor = table.column(5).to_numpy()[once].astype(np.int64)
-    content = [np.frombuffer(x, dtype=np.uint64) for x in table.column(6).take(pa.array(once)).to_pylist()]
-    base = np.r_[0, np.cumsum([len(x) for x in content])]
-    known, numbers = np.unique(np.concatenate(content), return_inverse=True)
-    numbers = numbers.astype(np.int64) + 1
+    key, digest, rid, n = (table.column(x).to_numpy() for x in ("key", "digest", "rid", "n"))
+    start, count, anchor = (table.column(x).to_numpy().astype(np.int64) for x in ("start", "count", "anchor"))
+    symbols = np.frombuffer(b"".join(table.column("content").to_pylist()), dtype=np.uint64)
+    length = count - 1 + WIDTH
+    base = np.r_[0, np.cumsum(length)]
+    known, found = np.unique(symbols, return_inverse=True)
+    found = found.astype(np.int64) + 1
     # texts by the occurrence of their anchor: equal windows start equally far before their anchors
-    order = np.lexsort((start + anchor, rid[once]))
-    first = np.empty(len(once), dtype=np.int64)
-    first[order] = np.arange(len(once))
-    index = FmIndex(numbers, base, first, len(known))
+    order = np.lexsort((start + anchor, rid))
+    first = np.empty(len(rid), dtype=np.int64)
+    first[order] = np.arange(len(rid))
+    index = FmIndex(found, base, first, len(known), n)
     windows = np.r_[0, np.cumsum(count)]
+    source = np.repeat(np.arange(len(rid)), count)  # the text in which a window occurs first
     hit = np.zeros(windows[-1], dtype=bool)
-    text = np.repeat(np.arange(len(once)), count)
-    stop = base[text] + np.arange(windows[-1]) - windows[text] + WIDTH
-    for lo in range(0, len(stop), STEP):
-        at = np.arange(lo, min(len(stop), lo + STEP))
-        matched, a, b = index.statistics(numbers, stop[at], WIDTH)
+    matched, _, _ = index.statistics(found, base[1:], length)
+    _, of, kinds = np.unique(key, return_inverse=True, return_counts=True)
+    whole = (matched == length) & (kinds[of] == 1)
+    hit[np.repeat(whole, count)] = True
+    text = np.flatnonzero(~whole)
+    rest = np.repeat(text, count[text])
+    place = np.arange(len(rest)) - np.repeat(np.cumsum(count[text]) - count[text], count[text])
+    for lo in range(0, len(rest), STEP):
+        t, w = rest[lo : lo + STEP], place[lo : lo + STEP]
+        matched, a, b = index.statistics(found, base[t] + w + WIDTH, WIDTH)
         full = np.flatnonzero(matched == WIDTH)
-        hit[at[full]] = index.least(a[full], b[full]) < first[text[at[full]]]
-    return answers(key[once], digest[once], windows, hit)
+        at = windows[t[full]] + w[full]
+        hit[at] = True
+        source[at] = order[index.least(a[full], b[full])]
+    text = np.repeat(np.arange(len(rid)), count)
+    before = anchor[text] - (np.arange(windows[-1]) - windows[text])
+    return R.answer(key, digest, windows, hit, rid[source], (start + anchor)[source] - before)
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,7 +55,7 @@ class Pieces:
         lengths = np.array([len(x) for x in strings], dtype=np.int64)
         data = np.frombuffer(b"".join(strings) + b" ", dtype=np.uint8)
         stop = np.cumsum(lengths)
-        hashes = B.RangeHash(B.BYTE_VALUE[data], 0).of(stop - lengths, stop)
+        hashes = B.RangeHash(data, 0, B.BYTE_VALUE).of(stop - lengths, stop)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
         self.sizes = np.unique(lengths)[::-1]
@@ -78,7 +78,7 @@ class Pieces:
     def lattice(self, words: np.ndarray) -> tuple[list[list[tuple[int, np.ndarray, np.ndarray]]], np.ndarray]:
         """Edges that end at each place of n words of one length (n x length bytes): (length, piece or -1, log), and the forward sums."""
         n, length = words.shape
-        flat = B.RangeHash(B.BYTE_VALUE[words.ravel()], 0)
+        flat = B.RangeHash(words.ravel(), 0, B.BYTE_VALUE)
         row = np.arange(n) * length
         edges: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(length + 1)]
         forward = np.full((n, length + 1), -np.inf)

@@ -234,7 +234,7 @@ def repeats(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int = 5) -> np
 
 def _line_copies(data: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each text, the lines with a word that equal an earlier line of the text."""
-    hashes = B.RangeHash(B.BYTE_VALUE[data], 2).of(at[:-1], at[1:] - 1)  # without the line's end
+    hashes = B.RangeHash(data, 2, B.BYTE_VALUE).of(at[:-1], at[1:] - 1)  # without the line's end
     doc = np.repeat(np.arange(len(counts)), counts)
     inside = ~B.SPACES[data]
     has = _counts(inside, at) > 0
