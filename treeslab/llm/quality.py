@@ -4,14 +4,17 @@
 by gradient ascent on the conditional likelihood (forward-backward), and ``judge`` decodes every
 document with Viterbi; the share of words in content lines decides whether it is kept.
 
-Training lines come from a bounded sample of labelled documents (``SAMPLE_DOCS``): the lines of
-documents of quality 0 are boilerplate, those of quality 1 content. Documents that the base
+Training lines come from a bounded sample of labelled documents (``SAMPLE_DOCS``). Labels are for documents; those of
+lines come from evidence inside and across documents: the lines of a document of quality 0 are boilerplate, and so is a line
+of one of quality 1 that also stands in several other documents which aren't copies of each other (``MANY``), counted
+over the whole corpus: license lines, headers, menus. All others are content, so that labels change within documents. Documents that the base
 rules drop anyway don't take part. The sample takes the documents with the least hashes of
 their ids, so it is the same whatever the partitions are.
 
 Defined cases: a null or empty text has no words, fails the base rules and is dropped. Repeated
 rows are judged each for itself. Documents without labels only miss the training. Without any
-label of either kind, the model calls every line content.
+label of either kind, the model calls every line content. Very long texts are judged whole. Extra columns are left alone. Lines, words
+and windows are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,7 +36,11 @@ PADDED_LINES = 1 << 19
 #: Least share of a document's words that lie in content lines.
 CONTENT_SHARE = 0.5
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", dtype=np.uint8))
-N_FEATURES = 12
+N_FEATURES = 15
+#: A line is boilerplate if it stands in so many different documents, by their least shingles, and these are half of all it stands in.
+MANY = 3
+#: Words of notices and menus. (Fixed values.)
+NOTICES = [b"license", b"licensed", b"copyright", b"rights", b"reserved", b"released", b"terms", b"privacy", b"policy", b"cookie", b"cookies", b"subscribe", b"newsletter", b"login", b"menu", b"home", b"share", b"advertisement"]
 JUDGED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
 
 
@@ -44,8 +51,14 @@ def _counts(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.diff(sums[at])
 
 
-def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A row of numbers for each line data[at[k]:at[k + 1]], all in [0, 1]."""
+def _notices() -> np.ndarray:
+    data = np.frombuffer(b" ".join(NOTICES) + b" ", dtype=np.uint8)
+    starts, stops, _ = B.words(data, np.array([0, len(data)]))
+    return B.word_hashes(data, starts, stops)
+
+
+def features(data: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A row of numbers for each line data[at[k]:at[k + 1]], all in [0, 1]; text k has counts[k] lines."""
     chars = np.maximum(1, _counts((data & 0xC0) != 0x80, at)).astype(float)
     inside = np.zeros(len(data) + 1, dtype=np.int8)
     inside[1:] = ~B.SPACES[data]
@@ -66,6 +79,13 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     x[:, 9] = _counts(data >= 0x80, at) / np.maximum(1, np.diff(at))
     x[:, 10] = np.minimum(1, _counts(np.isin(data, (0x2C, 0x2E)), at) / n)
     x[:, 11] = n <= 3
+    low = B.LOWER[data]
+    begin, stop, of = B.words(low, at, B.NOT_ALNUM)
+    x[:, 12] = np.minimum(1, 3 * _counts(np.isin(B.word_hashes(low, begin, stop), _notices()), of) / np.maximum(1, np.diff(of)))
+    ends = np.cumsum(counts)[counts > 0]
+    x[:, 13:15] = 0
+    x[(ends - counts[counts > 0]), 13] = 1
+    x[ends - 1, 14] = 1
     return x
 
 
@@ -198,16 +218,58 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Crf:
     if not ids:
         return Crf.blank()
     rows = docs.where(F.col("doc_id").isin(list(ids))).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
-    sequences = []
-    for row in sorted(rows, key=lambda r: r.doc_id):
-        raw = np.frombuffer(((row.text or "") + " ").encode(), dtype=np.uint8)
-        ends = np.array([0, len(raw)])
-        if not judge_block(raw, ends, Crf.blank(), 0.0)["base_failed"][0]:
-            at, _ = lines_of(raw, ends)
-            sequences.append((features(raw, at), np.full(len(at) - 1, ids[row.doc_id])))
+    taken = []
+    with np.errstate(over="ignore"):
+        for row in sorted(rows, key=lambda r: r.doc_id):
+            raw = np.frombuffer(((row.text or "") + " ").encode(), dtype=np.uint8)
+            ends = np.array([0, len(raw)])
+            if not judge_block(raw, ends, Crf.blank(), 0.0)["base_failed"][0]:
+                at, counts = lines_of(raw, ends)
+                taken.append((features(raw, at, counts), line_hashes(raw, at), ids[row.doc_id]))
+    good = [lines for _, lines, quality in taken if quality]
+    known = common_lines(docs, np.unique(np.concatenate(good))) if good else np.zeros(0, dtype=np.uint64)
+    sequences = [(x, np.where(np.isin(lines, known), 0, quality)) for x, lines, quality in taken]
     return train(sequences) if sequences else Crf.blank()
 
 
+def line_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each line, without its end."""
+    return B.RangeHash(data, 2, B.BYTE_VALUE).of(at[:-1], at[1:] - 1)
+
+
+def common_lines(docs: DataFrame, lines: np.ndarray) -> np.ndarray:
+    """Those of the sample's line hashes that stand in MANY documents which aren't copies of each other, over all of docs.
+
+    A document is told by the least hash of its five-word shingles, which most copies share.
+    """
+    ship(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(lines)  # as many as the sample has
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for batch in batches:
+            for _, _, data, offsets in B.blocks(B.binary(batch.column(0))):
+                at, counts = lines_of(data, offsets)
+                starts, stops, of = B.words(data, offsets)
+                filled = _counts(~B.SPACES[data], at) > 0
+                found = line_hashes(data, at)
+                doc = np.repeat(np.arange(len(counts)), counts)
+                use = filled & np.isin(found, held.value)
+                doc, found = doc[use], found[use]
+                hashes = B.word_hashes(data, starts, stops)
+                n = max(0, len(hashes) - 4)
+                shingle = B.RangeHash(hashes, 1).of(np.arange(n), np.arange(n) + 5)
+                least = np.array([shingle[of[d] : max(of[d], of[d + 1] - 4)].min(initial=np.uint64(0xFFFFFFFFFFFFFFFF)) for d in np.unique(doc)], dtype=np.uint64)
+                pair = np.unique(np.stack((found, doc.astype(np.uint64)), axis=1), axis=0)  # once a document
+                sign = least[np.searchsorted(np.unique(doc), pair[:, 1].astype(np.int64))] if len(pair) else least
+                pair, times = np.unique(np.stack((pair[:, 0], sign), axis=1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy().view(np.int64)), pa.array(pair[:, 1].copy().view(np.int64)), pa.array(times)], names=["line", "doc", "n"])
+
+    each = docs.select(F.col("text").cast("string")).mapInArrow(run, "line long, doc long, n long").groupBy("line", "doc").agg(F.sum("n").alias("n"))
+    sums = each.groupBy("line").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")).where((F.col("docs") >= MANY) & (2 * F.col("docs") >= F.col("n")))
+    return np.array([row.line for row in sums.select("line").collect()], dtype=np.int64).view(np.uint64)
+
+
 def repeats(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int = 5) -> np.ndarray:
     """The number of words in windows that occur twice or more in their own text."""
     n = len(h)
@@ -234,7 +296,7 @@ def repeats(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int = 5) -> np
 
 def _line_copies(data: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each text, the lines with a word that equal an earlier line of the text."""
-    hashes = B.RangeHash(data, 2, B.BYTE_VALUE).of(at[:-1], at[1:] - 1)  # without the line's end
+    hashes = line_hashes(data, at)
     doc = np.repeat(np.arange(len(counts)), counts)
     inside = ~B.SPACES[data]
     has = _counts(inside, at) > 0
@@ -257,7 +319,7 @@ def judge_block(data: np.ndarray, offsets: np.ndarray, crf: Crf, share: float) -
     at, counts = lines_of(data, offsets)
     n_dup = _line_copies(data, at, counts)
     failed = (n_words < 10) | (100 * n_repeat > 20 * n_words)
-    labels = crf.viterbi(features(data, at), counts)
+    labels = crf.viterbi(features(data, at, counts), counts)
     in_line = np.diff(np.searchsorted(starts, at))
     first = np.r_[0, np.cumsum(counts)]
     content = np.diff(np.r_[0, np.cumsum(in_line * labels)][first])
