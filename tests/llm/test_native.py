@@ -111,5 +111,5 @@ def test_same_as_sql(spark, sf_dir, name):
 
 
 def test_mask_has_no_shuffle(spark, sf_dir):
-    plan = pii.mask(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    plan = pii.mask(spark.read.parquet(f"{sf_dir}/documents.parquet"), "k")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan

@@ -10,7 +10,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bits of a broadcast Bloom filter (64 MiB). Beyond it the rate of false positives grows, never the size.
@@ -29,12 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset and all runs on this machine, as in tests.
+
+    On a cluster without the setting this fails: executors wouldn't see each other's files.
+    """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return configured or current.get()
+    if not configured and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = configured or tempfile.mkdtemp(prefix="treeslab-")
     context.setCheckpointDir(folder)
     return folder
@@ -86,6 +91,11 @@ def free_name(frame: DataFrame, name: str) -> str:
     return name
 
 
+def every_column(frame: DataFrame) -> list[tuple[str, Column]]:
+    """The names and columns of a frame, whatever is in the names."""
+    return [(x, F.col("`" + x.replace("`", "``") + "`")) for x in frame.columns]
+
+
 def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, bool]:
     """docs with a long column that is unique and orders as doc_id does, and whether it is doc_id itself.
 

@@ -7,9 +7,9 @@ a level errs on no key of the universe. A key is listed if the number of levels
 row is odd. So over the universe membership is exact, and a page needs no join: its keys are
 tested against the levels, which are literals of the plan.
 
-The list goes in shards of at most ``SHARD_KEYS`` keys by hash, each with a cascade of its own, so a literal has
-a bounded size (level 0: 10 bits a key; each further level a hundredth of its universe at most).
-A longer list makes more shards; the pages are then judged shard by shard.
+List and universe go in shards by hash, each with a cascade of its own: of about ``SHARD_KEYS`` listed keys and a hundred times as many of the
+universe, so each level is a literal of about 10 * SHARD_KEYS bits at most (level 1 holds the hundredth of the
+universe that level 0 wrongly lets through). A longer list or a larger universe makes more shards; the pages are then judged shard by shard.
 
 Defined cases: a null URL, or one without ://, has an empty host and path, fits no rule and is not
 listed. Repeated rows are judged alike. An empty list allows everything.
@@ -116,7 +116,8 @@ def judge(pages: DataFrame, listed: DataFrame) -> DataFrame:
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host(url).alias("host"), path(url).alias("path"))
     universe = spool(rows.select("host").distinct().select(F.explode(parents(F.col("host"))).alias("key")).distinct())
-    n_shards = max(1, -(-listed.count() // SHARD_KEYS))
+    # a level after the first holds what the one before it wrongly holds: about a hundredth of the universe at level 1
+    n_shards = max(1, -(-listed.count() // SHARD_KEYS), -(-universe.count() // (100 * SHARD_KEYS)))
     shard = lambda key: F.pmod(F.xxhash64(key, F.lit(99)), F.lit(n_shards))
     blocked = None
     for k in range(n_shards):
