@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeslab.llm import blocks as B
-from treeslab.llm.shared import bloom, free_name, keyed, numbered, ship, spool
+from treeslab.llm.shared import bloom, every_column, free_name, keyed, numbered, over_rows, ship, spool
 
 WIDTH = 10
 SHINGLE = 3
@@ -326,7 +326,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_windo
                     hit[np.searchsorted(block.of, block.found(held.value)[0], side="right") - 1] = True
                     yield batch.slice(block.first, block.last - block.first).filter(pa.array(hit == dirty))
 
-        return frame.mapInArrow(run, frame.schema)
+        return over_rows(frame, run)
 
     if later is None:
         return judged(docs, index, False)
@@ -337,4 +337,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_windo
         found = spool(judged(rows.select(name, "text"), index, True).select(name))
         gone = found if gone is None else gone.unionByName(found)
         index, later = later, next(indexes, None)
-    return rows.join(gone.distinct(), name, "left_anti").select(docs.columns)
+    return rows.join(gone.distinct(), name, "left_anti").select([c for _, c in every_column(docs)])

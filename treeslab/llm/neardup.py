@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from treeslab.llm import blocks as B
 from treeslab.llm.components import components
-from treeslab.llm.shared import Bloom, bloom, free_name, keyed, numbered, shared_dir, ship, spool
+from treeslab.llm.shared import Bloom, bloom, every_column, free_name, keyed, numbered, shared_dir, ship, spool
 
 WORDS = 5
 #: Least similarity of a link, in hundredths.
@@ -311,4 +311,4 @@ def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows, _ = numbered(docs, name)
     found = cluster(rows.select(F.col(name).alias("rid"), F.col("text").cast("string").alias("text")), percent)
     gone = found.where("rid != component").select(F.col("rid").alias(name))
-    return rows.join(gone, name, "left_anti").select(docs.columns)
+    return rows.join(gone, name, "left_anti").select([c for _, c in every_column(docs)])

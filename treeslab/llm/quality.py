@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeslab.llm import blocks as B
-from treeslab.llm.shared import ship
+from treeslab.llm.shared import over_rows, ship
 
 #: Most labelled documents of each quality that the CRF is fitted on; all their lines take part.
 SAMPLE_DOCS = 300
@@ -352,4 +352,4 @@ def keep(docs: DataFrame, crf: Crf, share: float = CONTENT_SHARE) -> DataFrame:
             for first, last, data, offsets in B.blocks(B.binary(batch.column(place))):
                 yield batch.slice(first, last - first).filter(pa.array(judge_block(data, offsets, crf, share)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return over_rows(docs, run)

@@ -7,9 +7,11 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +98,12 @@ def every_column(frame: DataFrame) -> list[tuple[str, Column]]:
     return [(x, F.col("`" + x.replace("`", "``") + "`")) for x in frame.columns]
 
 
+def over_rows(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """mapInArrow over whole rows, with the frame's columns again; names that hold dots are no hindrance."""
+    plain = frame.toDF(*(f"c{k}" for k in range(len(frame.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*frame.columns)
+
+
 def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, bool]:
     """docs with a long column that is unique and orders as doc_id does, and whether it is doc_id itself.
 
