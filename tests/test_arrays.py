@@ -123,7 +123,7 @@ def test_raw_bytes(spark, base):
     values = [0, 1, 100] if letter == "U" else [0, 1, -1, -100, 99]
     kind = "double" if letter == "F" else "decimal(20,0)" if bits == 64 else "long"
     rows = spark.createDataFrame([(v,) for v in values], "v long").select(F.col("v").cast(kind).alias("v"))
-    raw = codec.float_hex(base)(F.col("v")) if letter == "F" else codec.integer_hex(F.col("v"), base)
+    raw = codec.float_hex(F.col("v"), base) if letter == "F" else codec.integer_hex(F.col("v"), base)
     out = rows.select("v", raw.alias("raw")).collect()
     assert [r.raw for r in out] == [np.array([v]).astype(Y.number_code(base)).tobytes().hex().upper() for v in values]
     if letter != "F":

@@ -6,11 +6,11 @@ a time (``array<string>`` keeps nested JSON as text); plain numbers are read in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from decimal import Decimal
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,8 +120,13 @@ def utf8(raw: Column) -> Column:
     return F.decode(raw, "UTF-8")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _swapped(digits: Column, size: int) -> Column:
-    return F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in range(size - 1, -1, -1)))
+    return let(digits, lambda x: F.concat(*(F.substring(x, 2 * k + 1, 2) for k in range(size - 1, -1, -1))))
 
 
 def integer_hex(value: Column, base: str) -> Column:
@@ -142,7 +147,7 @@ def hex_integer(digits: Column, base: str) -> Column:
     size = bits // 8
     digits = digits if order == "BE" else _swapped(digits, size)
     whole = F.conv(digits, 16, 10).cast("decimal(20,0)")
-    signed = F.when(whole >= F.lit(Decimal(2 ** (bits - 1))), whole - F.lit(Decimal(2**bits))).otherwise(whole) if letter == "I" else whole
+    signed = let(whole, lambda x: F.when(x >= F.lit(Decimal(2 ** (bits - 1))), x - F.lit(Decimal(2**bits))).otherwise(x)) if letter == "I" else whole
     return signed.cast(Y.spark_type(base))
 
 
@@ -156,15 +161,77 @@ def hex_string(digits: Column) -> Column:
     return F.regexp_replace(F.decode(F.unhex(digits), "UTF-8"), "\\x00+$", "")
 
 
+def _fixed(item: Any) -> dict:
+    item = Y.parse(item)
+    if Y.item_size(item) == Y.VARIABLE:
+        raise Y.UnsupportedType("types of variable size have no raw form")
+    return item
+
+
+def value_hex(value: Column, item: Any) -> Column:
+    """Raw bytes of a value of any type of fixed size, as hex digits: numbers, strings, enumerations, opaque bytes, arrays, records and records in them."""
+    item = _fixed(item)
+    kind = item["class"]
+    if kind == "H5T_STRING":
+        return string_hex(value, item["length"])
+    if kind == "H5T_INTEGER":
+        return integer_hex(value, item["base"])
+    if kind == "H5T_FLOAT":
+        return float_hex(value, item["base"])
+    if kind == "H5T_ENUM":
+        return value_hex(value.cast("int") if Y.is_boolean(item) else value, item["base"])
+    if kind == "H5T_OPAQUE":
+        return F.rpad(F.substring(F.hex(value), 1, 2 * item["size"]), 2 * item["size"], "0")
+    if kind == "H5T_ARRAY":
+        dims = Y.dims_of(item)
+        for _ in dims[1:]:
+            value = F.flatten(value)
+        pieces = F.array_join(F.transform(value, lambda x: value_hex(x, item["base"])), "")
+        return F.when(F.size(value) == math.prod(dims), pieces).otherwise(F.raise_error(F.lit(f"an array of {dims} has {math.prod(dims)} elements")).cast("string"))
+    if kind == "H5T_COMPOUND":
+        return record_hex([(value[x["name"]], x["type"]) for x in item["fields"]])
+    raise Y.UnsupportedType(kind)
+
+
 def record_hex(fields: list[tuple[Column, Any]]) -> Column:
-    """Raw bytes of a record of integers and fixed strings, fields in order, as hex digits."""
-    parts = []
-    for value, item in fields:
-        item = Y.parse(item)
-        if Y.item_size(item) == Y.VARIABLE:
-            raise Y.UnsupportedType("types of variable size have no raw form")
-        parts.append(string_hex(value, item["length"]) if item["class"] == "H5T_STRING" else integer_hex(value, item["base"]))
-    return F.concat(*parts)
+    """Raw bytes of a record, fields in order, as hex digits."""
+    return F.concat(*(value_hex(value, item) for value, item in fields))
+
+
+def hex_value(digits: Column, item: Any) -> Column:
+    """The value of raw bytes given as hex digits; what value_hex made. Strings lose their padding."""
+    item = _fixed(item)
+    kind = item["class"]
+    if kind == "H5T_STRING":
+        return hex_string(digits)
+    if kind == "H5T_INTEGER":
+        return hex_integer(digits, item["base"])
+    if kind == "H5T_FLOAT":
+        return hex_float(digits, item["base"])
+    if kind == "H5T_ENUM":
+        number = hex_value(digits, item["base"])
+        return number != 0 if Y.is_boolean(item) else number
+    if kind == "H5T_OPAQUE":
+        return F.unhex(digits)
+    if kind == "H5T_ARRAY":
+        dims, size = Y.dims_of(item), 2 * Y.item_size(item["base"])
+        out = F.transform(F.sequence(F.lit(0), F.lit(math.prod(dims) - 1)), lambda k: hex_value(F.substring(digits, k * size + 1, F.lit(size)), item["base"]))
+        for d in dims[:0:-1]:
+            out = F.transform(F.sequence(F.lit(1), F.size(out), F.lit(d)), lambda k, out=out, d=d: F.slice(out, k, F.lit(d)))
+        return out
+    if kind == "H5T_COMPOUND":
+        parts, at = [], 1
+        for x in item["fields"]:
+            size = 2 * Y.item_size(x["type"])
+            parts.append(hex_value(F.substring(digits, at, size), x["type"]).alias(x["name"]))
+            at += size
+        return F.struct(*parts)
+    raise Y.UnsupportedType(kind)
+
+
+def read_raw(raw: Column, item: Any, count: int) -> Column:
+    """The values of count elements' raw bytes, as a list."""
+    return F.transform(split_records(raw, item, count), lambda x: hex_value(x, item))
 
 
 def split_records(raw: Column, item: Any, count: int) -> Column:
@@ -176,14 +243,53 @@ def split_records(raw: Column, item: Any, count: int) -> Column:
     return F.when(F.octet_length(raw) == count * size, pieces).otherwise(F.raise_error(F.lit(f"{count} elements take {count * size} bytes")).cast("array<string>"))
 
 
-def float_hex(base: str) -> Callable[[Column], Column]:
-    """Raw bytes of floats, as hex digits; by Arrow batches, since SQL has no view of a float's bits."""
-    code = Y.number_code(base)
+#: Bits of the exponent and of the fraction. (Fixed values of the standard.)
+_FLOAT_BITS = {32: (8, 23), 64: (11, 52)}
 
-    def run(values: pd.Series) -> pd.Series:
-        raw = values.to_numpy(dtype=code).tobytes().hex().upper()
-        size = 2 * int(code[2:])
-        return pd.Series([raw[k : k + size] for k in range(0, len(raw), size)], index=values.index).where(values.notna(), None)
 
-    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "string")
+def float_hex(value: Column, base: str) -> Column:
+    """Raw bytes of a float, as hex digits, by exact arithmetic on its exponent and fraction."""
+    letter, bits, order = Y.number(base)
+    if letter != "F":
+        raise TypeError(f"{base} is no float")
+    exponent_bits, fraction_bits = _FLOAT_BITS[bits]
+    bias = 2 ** (exponent_bits - 1) - 1
+    two = lambda n: F.pow(F.lit(2.0), n)
+    lift = bias - 1 + fraction_bits  # a number below the normal ones counts 2 ** -lift
+    top = (2**exponent_bits - 1) << fraction_bits
+
+    def of(value: Column) -> Column:
+        negative = value.cast("string").startswith("-")
+        pattern = let(F.abs(value), lambda size: let(F.floor(F.log2(size)).cast("int"), lambda guess: let(F.when(two(guess) > size, guess - 1).when(two(guess + 1) <= size, guess + 1).otherwise(guess), lambda power: bits_of(size, power))))
+        return let(pattern, lambda x: F.right(F.lpad(F.hex(F.when(negative, x.bitwiseOR(F.lit(-(1 << 63) if bits == 64 else 1 << 31))).otherwise(x)), 16, "0"), F.lit(bits // 4)))
+
+    def bits_of(size: Column, power: Column) -> Column:
+        low = (size * F.lit(2.0 ** (lift // 2)) * F.lit(2.0 ** (lift - lift // 2))).cast("long")
+        normal = F.shiftleft((power + bias).cast("long"), fraction_bits) + ((size / two(power) - 1) * F.lit(2.0**fraction_bits)).cast("long")
+        return F.when(F.isnan(size), F.lit(top + (1 << (fraction_bits - 1)))).when(size == F.lit(float("inf")), F.lit(top)).when(size < 2.0 ** (1 - bias), low).otherwise(normal)
+
+    digits = let(value.cast("float").cast("double") if bits == 32 else value.cast("double"), of)
+    return digits if order == "BE" else _swapped(digits, bits // 8)
+
+
+def hex_float(digits: Column, base: str) -> Column:
+    """The float of raw bytes given as hex digits."""
+    letter, bits, order = Y.number(base)
+    if letter != "F":
+        raise TypeError(f"{base} is no float")
+    exponent_bits, fraction_bits = _FLOAT_BITS[bits]
+    bias = 2 ** (exponent_bits - 1) - 1
+
+    def of(digits: Column) -> Column:
+        first = F.conv(F.substring(digits, 1, 4), 16, 10).cast("long")
+        pattern = F.conv(F.concat(F.lpad(F.hex(first.bitwiseAND(F.lit(0x7FFF))), 4, "0"), F.substr(digits, F.lit(5))), 16, 10).cast("long")
+        size = let(pattern, lambda x: size_of(F.shiftright(x, fraction_bits), x.bitwiseAND(F.lit((1 << fraction_bits) - 1)).cast("double")))
+        return let(size, lambda x: F.when(digits.isNotNull(), F.when(first >= 0x8000, -x).otherwise(x)))
+
+    def size_of(exponent: Column, fraction: Column) -> Column:
+        small = fraction * F.lit(2.0 ** (1 - bias - fraction_bits)) if bits == 32 else fraction * F.lit(2.0**-537) * F.lit(2.0**-537)
+        normal = (F.lit(1.0) + fraction / F.lit(2.0**fraction_bits)) * F.pow(F.lit(2.0), (exponent - bias).cast("double"))
+        return F.when(exponent == 0, small).when(exponent < 2**exponent_bits - 1, normal).otherwise(F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan"))))
+
+    out = let(digits if order == "BE" else _swapped(digits, bits // 8), of)
+    return out.cast("float") if bits == 32 else out

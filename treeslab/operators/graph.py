@@ -63,37 +63,68 @@ def anonymous(tables: Tables) -> DataFrame:
     return tables.objects().join(named.distinct(), ["file_id", "uuid"], "left_anti")
 
 
-def resolve(tables: Tables, path: str, file_id: str | None = None, max_hops: int = 16) -> tuple[str, str, str] | None:
-    """(file_id, collection, uuid) at a path of one document, following hard and soft links; None if it leads nowhere.
+#: Soft links that a path may lead through.
+MAX_HOPS = 16
 
-    A path costs one lookup a name, each a filter on the edge table.
+
+def _names(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda x: x != "")
+
+
+def _followed(tables: Tables, starts: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+    """Where the rows of starts (key, file_id, uuid, parts) lead: key, collection, uuid; rows that lead nowhere have gone.
+
+    Each round takes one name of every path, by one join with the links on (group, title); a soft link puts its own names in front. A path
+    through more than max_hops soft links fails: it may go round in a circle.
+    """
+    checkpoint_dir(starts.sparkSession)
+    links = tables.links.where(F.col("class").isin(HARD, SOFT)).select("file_id", F.col("group_uuid").alias("uuid"), F.col("title").alias("name"), "class", "id", F.col("collection").alias("to"), "h5path")
+    roots = tables.files.select("file_id", "root")
+    level = starts.join(roots, "file_id").select("key", "file_id", "root", "uuid", "parts", F.lit("groups").alias("collection"), F.lit(0).alias("hops")).checkpoint()
+    done = None
+    while True:
+        there = level.where(F.size("parts") == 0).select("key", "collection", "uuid")
+        done = there if done is None else done.unionByName(there)
+        going = level.where((F.size("parts") > 0) & (F.col("collection") == "groups")).withColumn("name", F.get("parts", F.lit(0)))
+        if going.isEmpty():
+            return done
+        step = going.join(links, ["file_id", "uuid", "name"])
+        rest, hard = F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0))), F.col("class") == HARD
+        hops = F.col("hops") + F.when(hard, 0).otherwise(1)
+        level = step.select(
+            "key",
+            "file_id",
+            "root",
+            F.when(hard, F.col("id")).when(F.col("h5path").startswith("/"), F.col("root")).otherwise(F.col("uuid")).alias("uuid"),
+            F.when(hard, rest).otherwise(F.concat(_names(F.col("h5path")), rest)).alias("parts"),
+            F.when(hard, F.col("to")).otherwise(F.lit("groups")).alias("collection"),
+            F.when(hops > max_hops, F.raise_error(F.concat(F.lit("over "), F.lit(max_hops), F.lit(" soft links in a path of "), F.col("file_id"))).cast("int")).otherwise(hops).alias("hops"),
+        ).checkpoint()
+
+
+def lookup_paths(tables: Tables, paths: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+    """paths (file_id, path, and others) with the collection and uuid they lead to, along hard and soft links; nulls where they lead nowhere.
+
+    All paths go together: one join for each name of the longest.
     """
+    if paths.select(F.max(F.get(_names(F.col("path")), F.lit(0)) == "__db__")).first()[0]:
+        raise NotPermitted("paths of the index are not to be read")
+    asked = paths.select("file_id", "path").distinct()
+    roots = tables.files.select("file_id", "root")
+    starts = asked.join(roots, "file_id").select(F.struct("file_id", "path").alias("key"), "file_id", F.col("root").alias("uuid"), _names(F.col("path")).alias("parts"))
+    found = _followed(tables, starts, max_hops).select("key.file_id", "key.path", "collection", "uuid")
+    return paths.join(found, ["file_id", "path"], "left")
+
+
+def resolve(tables: Tables, path: str, file_id: str | None = None, max_hops: int = MAX_HOPS) -> tuple[str, str, str] | None:
+    """(file_id, collection, uuid) at a path of one document, following hard and soft links; None if it leads nowhere."""
     t = tables.only(file_id) if file_id else tables
-    root = t.files.select("file_id", "root").first()
+    root = t.files.select("file_id").first()
     if root is None:
         return None
-    parts = [x for x in path.split("/") if x]
-    if parts[:1] == ["__db__"]:
-        raise NotPermitted("paths of the index are not to be read")
-    at, where, hops = root.root, "groups", 0
-    while parts:
-        name = parts.pop(0)
-        if where != "groups":
-            return None
-        found = t.links.where((F.col("group_uuid") == at) & (F.col("title") == name) & (F.col("file_id") == root.file_id)).first()
-        if found is None or found["class"] not in (HARD, SOFT):
-            return None
-        if found["class"] == HARD:
-            at, where = found["id"], found.collection
-            continue
-        hops += 1
-        if hops > max_hops:
-            return None
-        target = [x for x in found.h5path.split("/") if x]
-        if found.h5path.startswith("/"):
-            at, where = root.root, "groups"
-        parts = target + parts
-    return root.file_id, where, at
+    asked = t.files.limit(1).select("file_id", F.lit(path).alias("path"))
+    found = lookup_paths(t.only(root.file_id), asked, max_hops).first()
+    return (found.file_id, found.collection, found.uuid) if found.uuid is not None else None
 
 
 def object_row(tables: Tables, collection: str, uuid: str) -> DataFrame:
@@ -115,12 +146,19 @@ def page(rows: DataFrame, by: str, marker: str | None = None, limit: int = 0) ->
 
 
 def collection_page(tables: Tables, collection: str, marker: str | None = None, limit: int | None = None) -> DataFrame:
-    """file_id, uuid of a collection: linked objects; with a limit (0: none) the anonymous after them."""
-    all_of = getattr(tables, collection).select("file_id", "uuid")
-    loose = anonymous(tables).where(F.col("collection") == collection).select("file_id", "uuid")
-    linked = all_of.join(loose, ["file_id", "uuid"], "left_anti").withColumn("loose", F.lit(0))
-    rows = linked if limit is None else linked.unionByName(loose.withColumn("loose", F.lit(1)))
-    rows = rows.where(F.col("uuid") > marker) if marker is not None else rows
+    """file_id, uuid of a collection but for the roots: linked objects; with a limit (0: none) the anonymous after them.
+
+    A page goes on after the marker's own place: linked objects before anonymous ones, each in the order of their uuids.
+    """
+    roots = _roots(tables)
+    every = getattr(tables, collection).select("file_id", "uuid").join(roots, ["file_id", "uuid"], "left_anti")
+    loose = anonymous(tables).where(F.col("collection") == collection).select("file_id", "uuid", F.lit(1).alias("loose"))
+    rows = every.join(loose, ["file_id", "uuid"], "left").fillna(0, ["loose"])
+    if limit is None:
+        rows = rows.where("loose = 0")
+    if marker is not None:
+        at = rows.where(F.col("uuid") == marker).agg(F.max("loose")).first()[0] or 0
+        rows = rows.where((F.col("loose") > at) | (F.col("loose") == at) & (F.col("uuid") > marker))
     rows = rows.orderBy("loose", "uuid")
     return (rows.limit(limit) if limit else rows).select("file_id", "uuid")
 
@@ -176,14 +214,14 @@ def link_page(tables: Tables, group: str, marker: str | None = None, limit: int
     return page(link_items(tables.links.where(F.col("group_uuid") == group)), "title", marker, limit)
 
 
-def link_counts(tables: Tables) -> DataFrame:
-    """file_id, uuid, n: links that lead to each object, one shuffle. Soft links count with the object at their path."""
-    at = reachable(tables).select("file_id", "uuid", "path")
+def link_counts(tables: Tables, max_hops: int = MAX_HOPS) -> DataFrame:
+    """file_id, uuid, n: links that lead to each object. Hard links name it; a soft link counts with the object that its path leads to from
+    its own group, whatever hard and soft links are on the way. A soft link whose path leads nowhere counts with none."""
     hard = hard_edges(tables).select("file_id", F.col("child").alias("uuid"))
-    soft = tables.links.where(F.col("class") == SOFT)
-    home = at.select("file_id", F.col("uuid").alias("group_uuid"), F.col("path").alias("home"))
-    full = F.when(F.col("h5path").startswith("/"), F.col("h5path")).otherwise(F.concat(F.when(F.col("home") == "/", "").otherwise(F.col("home")), F.lit("/"), F.col("h5path")))
-    aimed = soft.join(home, ["file_id", "group_uuid"]).select("file_id", full.alias("path")).join(at, ["file_id", "path"]).select("file_id", "uuid")
+    soft = tables.links.where(F.col("class") == SOFT).join(_roots(tables).withColumnRenamed("uuid", "root"), "file_id")
+    begin = F.when(F.col("h5path").startswith("/"), F.col("root")).otherwise(F.col("group_uuid"))
+    starts = soft.select(F.struct("file_id", "group_uuid", "title").alias("key"), "file_id", begin.alias("uuid"), _names(F.col("h5path")).alias("parts"))
+    aimed = _followed(tables, starts, max_hops).select("key.file_id", "uuid")
     return hard.unionByName(aimed).groupBy("file_id", "uuid").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeslab.functions import codec
+
 NONE, ALL, POINTS, HYPERSLABS = "H5S_SEL_NONE", "H5S_SEL_ALL", "H5S_SEL_POINTS", "H5S_SEL_HYPERSLABS"
 Slab = tuple[int, int, int]
 
@@ -109,6 +112,18 @@ def points(rows: DataFrame, wanted: DataFrame, names: Sequence[str], dims: Seque
     return wanted.join(rows, list(names), "left").orderBy("pos")
 
 
+def points_nested(rows: DataFrame, wanted: DataFrame, key: str, values: str, rank: int) -> DataFrame:
+    """pos, i0 .. and value at points (pos, i0 ..) of arrays that are nested lists, a row for each i0 (column key).
+
+    Rows meet points by i0 alone, and a point takes its element from the list: nothing is exploded.
+    """
+    joined = wanted.join(rows.select(F.col(key).alias("i0"), F.col(values).alias("list_")), "i0", "left")
+    value = F.col("list_")
+    for k in range(1, rank):
+        value = F.get(value, F.col(f"i{k}"))
+    return joined.select("pos", *places(rank), value.alias("value")).orderBy("pos")
+
+
 def write_slab(rows: DataFrame, new: DataFrame, names: Sequence[str]) -> DataFrame:
     """The long form after a write: new elements (names, value) win over old ones."""
     fresh = new.select(*names, F.col("value").alias("new_"), F.lit(True).alias("hit_"))
@@ -129,6 +144,17 @@ def from_block(values: Sequence, selection: Sequence[Slab]) -> list[tuple]:
     return visit(values, selection, ())
 
 
+def from_raw(rows: DataFrame, raw: str, item: Any, selection: Sequence[Slab]) -> DataFrame:
+    """The other columns of rows, coordinates and value of the elements of a block that is written as raw bytes to a hyperslab; other lengths fail."""
+    shape = shape_of(selection)
+    every = rows.select(*(x for x in rows.columns if x != raw), F.posexplode(codec.read_raw(F.col(raw), item, math.prod(shape))).alias("at_", "value"))
+    size, columns = math.prod(shape), []
+    for k, (n, (start, _, step)) in enumerate(zip(shape, selection)):
+        size //= n or 1
+        columns.append((F.pmod(F.floor(F.col("at_") / max(1, size)), F.lit(max(1, n))) * step + start).cast("long").alias(f"i{k}"))
+    return every.select(*(x for x in rows.columns if x != raw), *columns, "value")
+
+
 def write_points(rows: DataFrame, new: DataFrame, names: Sequence[str]) -> DataFrame:
     """The long form after writes (pos, names, value) one after another: the last at a place wins. One aggregate, no sort."""
     last = new.groupBy(*names).agg(F.max_by("value", "pos").alias("value"))
@@ -175,14 +201,14 @@ def region(rows: DataFrame, kind: str, selection: Sequence, names: Sequence[str]
     return rows.where(inside)
 
 
-def grid(spark, dims: Sequence[int]) -> DataFrame:  # noqa: ANN001
-    """All coordinates of an array, made in parallel."""
+def grid(spark, dims: Sequence[int], start: Sequence[int] | None = None) -> DataFrame:  # noqa: ANN001
+    """All coordinates of an array, or of a block of it that begins at start, made in parallel."""
     out = spark.range(math.prod(dims))
     size = math.prod(dims)
     columns = []
     for k, d in enumerate(dims):
         size //= d or 1
-        columns.append(F.expr(f"(id div {max(1, size)}) % {max(1, d)}").alias(f"i{k}"))
+        columns.append(F.expr(f"(id div {max(1, size)}) % {max(1, d)} + {start[k] if start else 0}L").alias(f"i{k}"))
     return out.select(*columns)
 
 
@@ -196,11 +222,11 @@ def resize(rows: DataFrame, old: Sequence[int], new: Sequence[int], limits: Sequ
         if m not in (None, 0) and b > m:
             raise ValueError("an extent is over its greatest")
     names = places(len(old))
-    grown = F.lit(False)
-    for name, d in zip(names, old):
-        grown = grown | (F.col(name) >= d)
-    added = grid(rows.sparkSession, new).where(grown)
-    return rows.select(*names, "value").unionByName(added.withColumn("value", F.lit(fill).cast(rows.schema["value"].dataType)))
+    out = rows.select(*names, "value")
+    for k, (a, b) in enumerate(zip(old, new)):  # the slab that axis k adds: old extents on the axes before, new ones after
+        added = grid(rows.sparkSession, [*old[:k], b - a, *new[k + 1 :]], [*[0] * k, a, *[0] * (len(new) - k - 1)])
+        out = out.unionByName(added.withColumn("value", F.lit(fill).cast(rows.schema["value"].dataType)))
+    return out
 
 
 def filled(rows: DataFrame, dims: Sequence[int], fill: object) -> DataFrame:

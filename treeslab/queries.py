@@ -156,14 +156,8 @@ def _stepped(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", F.array_join(F.transform(part, lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string")), ",").alias("part"))
 
 
-@query("select vec_id, list_aggregate([cast(round(cast(x as double) * 1000) as bigint) for x in embedding[3:12:3]], 'string_agg', ',') as part from embeddings where vec_id < 40")
-def hyperslab_nested(spark, sf_dir):
-    """The rows that its SQL takes; hyperslab_nested_whole has all."""
-    return _stepped(table(spark, sf_dir, "embeddings").where("vec_id < 40"))
-
-
 @query("select vec_id, list_aggregate([cast(round(cast(x as double) * 1000) as bigint) for x in embedding[3:12:3]], 'string_agg', ',') as part from embeddings")
-def hyperslab_nested_whole(spark, sf_dir):
+def hyperslab_nested(spark, sf_dir):
     """Every row's list is cut."""
     return _stepped(table(spark, sf_dir, "embeddings"))
 
@@ -173,9 +167,10 @@ _POINTS = [(5, 3), (7, 60), (5, 3), (0, 0), (199, 63), (7, 1)]
 
 @query(f"select p.pos, p.i0, p.i1, g.value from (values {', '.join(f'({k}, {a}, {b})' for k, (a, b) in enumerate(_POINTS))}) p(pos, i0, i1) join {_GRID} g on g.i0 = p.i0 and g.i1 = p.i1")
 def point_select(spark, sf_dir):
+    """Points take their elements from the lists."""
     wanted = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(_POINTS)], "pos int, i0 int, i1 int")
-    out = S.points(_grid(spark, sf_dir).select(F.col("i0").cast("int").alias("i0"), F.col("i1").cast("int").alias("i1"), "value"), wanted, ["i0", "i1"], [200, 64])
-    return out.select("pos", "i0", "i1", "value")
+    out = S.points_nested(table(spark, sf_dir, "embeddings"), wanted, "vec_id", "embedding", 2)
+    return out.where("value is not null").withColumn("value", F.col("value").cast("double"))
 
 
 @query(f"select distinct i0, i1, value from {_GRID} where (i0 >= 2 and i0 < 5 and i1 >= 0 and i1 < 4) or (i0 >= 4 and i0 < 7 and i1 >= 2 and i1 < 6)")
@@ -200,16 +195,6 @@ def write_points(spark, sf_dir):
     return S.write_points(_sizes(spark, sf_dir), new, ["i0"])
 
 
-@query(f"select i0, value from {_SIZES} where i0 < 150 union all select range as i0, -1 as value from range(150, 160)")
-def resize_fill(spark, sf_dir):
-    return S.resize(_sizes(spark, sf_dir).where("i0 < 150"), [150], [160], [None], -1)
-
-
-@query(f"select r.range as i0, coalesce(s.value, 0) as value from range(0, 100) r left join (select * from {_SIZES} where value > 25) s on s.i0 = r.range")
-def fill_missing(spark, sf_dir):
-    return S.filled(_sizes(spark, sf_dir).where("value > 25 and i0 < 100"), [100], 0)
-
-
 _EXTENT = "(select coalesce(max(p_partkey) + 1, 0) from part)"
 
 
@@ -218,28 +203,22 @@ def _extent(sizes: DataFrame) -> int:
 
 
 @query(f"select i0, value from {_SIZES} union all select range as i0, -1 as value from range({_EXTENT}, {_EXTENT} + 10)")
-def resize_fill_whole(spark, sf_dir):
-    """The whole table's array grown by ten; resize_fill has the first places, as its SQL."""
+def resize_fill(spark, sf_dir):
+    """The table's array grown by ten."""
     sizes = _sizes(spark, sf_dir)
     n = _extent(sizes)
     return S.resize(sizes, [n], [n + 10], [None], -1)
 
 
 @query(f"select r.range as i0, coalesce(s.value, 0) as value from range(0, {_EXTENT}) r left join (select * from {_SIZES} where value > 25) s on s.i0 = r.range")
-def fill_missing_whole(spark, sf_dir):
-    """The whole table's array filled; fill_missing has the first places, as its SQL."""
+def fill_missing(spark, sf_dir):
+    """The table's array filled."""
     sizes = _sizes(spark, sf_dir)
     return S.filled(sizes.where("value > 25"), [_extent(sizes)], 0)
 
 
-@query("select i0, string_agg(cast(cast(round(value * 100) as bigint) as varchar), ',' order by i1) as row_text from " + _GRID + " where i0 < 30 and i1 < 5 group by i0")
-def nested_again(spark, sf_dir):
-    """The part that its SQL takes; nested_again_whole has all."""
-    return _nested(S.hyperslab(_grid(spark, sf_dir), S.slabs(["0:30", "0:5"], [200, 64])))
-
-
 @query("select i0, string_agg(cast(cast(round(value * 100) as bigint) as varchar), ',' order by i1) as row_text from " + _GRID + " group by i0")
-def nested_again_whole(spark, sf_dir):
+def nested_again(spark, sf_dir):
     """Every list, nested again from the whole long form."""
     return _nested(_grid(spark, sf_dir))
 
@@ -403,15 +382,26 @@ def path_walk(spark, sf_dir):
 
 @query(f"select * from ({_WALK}) where path = (select '/' || r_name || '/' || n_name || '/' || c_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_custkey = 7)")
 def path_lookup(spark, sf_dir):
-    """A path is followed by one lookup a name."""
+    """One path, resolved."""
     tree = _tree(spark, sf_dir)
-    nation, region, customer = (table(spark, sf_dir, x) for x in ("nation", "region", "customer"))
-    names = customer.where("c_custkey = 7").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey")).first()
-    path = f"/{names.r_name}/{names.n_name}/{names.c_name}"
+    path = _paths(spark, sf_dir).where("c_custkey = 7").first().path
     found = G.resolve(tree, path)
     return spark.createDataFrame([(found[2], path, 3)] if found else [], "uuid string, path string, depth int")
 
 
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region, customer = (table(spark, sf_dir, x) for x in ("nation", "region", "customer"))
+    names = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return names.select("c_custkey", "c_nationkey", "c_name", F.concat(F.lit("/"), F.concat_ws("/", "r_name", "n_name", "c_name")).alias("path"))
+
+
+@query(f"""select c_custkey, case when c_custkey % 3 = 1 then null else {sql_uid("'customer/' || c_custkey")} end as uuid, case when c_custkey % 3 <> 1 then 'datasets' end as collection from customer""")
+def paths_lookup(spark, sf_dir):
+    """Every customer's path at once, one join a name; those of a third go on below a dataset and lead nowhere."""
+    asked = _paths(spark, sf_dir).select(F.lit("star").alias("file_id"), "c_custkey", F.concat("path", F.when(F.col("c_custkey") % 3 == 1, "/x").otherwise("")).alias("path"))
+    return G.lookup_paths(_tree(spark, sf_dir), asked).select("c_custkey", "uuid", "collection")
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> D.Tables:
     """orders as datasets, linked from a group for each line item's supplier; a title is unique by its row."""
     file = F.lit("orders").alias("file_id")
@@ -453,7 +443,7 @@ def attr_page(spark, sf_dir):
     return M.attribute_page(_tree(spark, sf_dir), owner, "key", 1).select("name")
 
 
-@query(f"select {_N} as uuid from nation union all select {_R} from region union all select {sql_uid(chr(39) + 'root' + chr(39))} order by uuid limit 9")
+@query(f"select {_N} as uuid from nation union all select {_R} from region order by uuid limit 9")
 def collection_page(spark, sf_dir):
     return G.collection_page(_tree(spark, sf_dir), "groups", limit=9).select("uuid")
 
@@ -615,14 +605,8 @@ def _validated(events: DataFrame) -> DataFrame:
     return V.validate(events.select(F.concat(F.lit("e"), k).alias("file_id"), text.alias("text"))).select("file_id", "valid")
 
 
-@query("""select 'e' || event_id as file_id, event_id % 5 <> 1 and event_id % 5 <> 3 and event_id % 7 <> 2 as valid from events where event_id < 700""")
-def validate_docs(spark, sf_dir):
-    """The documents of the events that its SQL takes; validate_docs_whole has all."""
-    return _validated(table(spark, sf_dir, "events").where("event_id < 700"))
-
-
 @query("""select 'e' || event_id as file_id, event_id % 5 <> 1 and event_id % 5 <> 3 and event_id % 7 <> 2 as valid from events""")
-def validate_docs_whole(spark, sf_dir):
+def validate_docs(spark, sf_dir):
     """Every event's document."""
     return _validated(table(spark, sf_dir, "events"))
 
@@ -673,3 +657,195 @@ def document_round_trip(spark, sf_dir):
     n = lambda frame, name: frame.groupBy("file_id").agg(F.count(F.lit(1)).alias(name))
     out = back.files.select("file_id", F.col("api_version").alias("version"))
     return out.join(n(back.groups, "n_groups"), "file_id").join(n(back.datasets, "n_datasets"), "file_id").join(n(back.attributes, "n_attributes"), "file_id")
+
+
+def _link_rows(rows: DataFrame, group: Column, title: Column, kind: str, **more: Column) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return rows.select(F.lit("star").alias("file_id"), group.alias("group_uuid"), F.lit(0).alias("ordinal"), title.alias("title"), F.lit(kind).alias("class"), *(more.get(x, none).alias(x) for x in ("collection", "id", "h5path", "file", "target")))
+
+
+@query(f"""select {_R} as uuid, 1 as n from region union all select {_N}, 2 from nation union all select {_C}, case when c_custkey % 2 = 0 then 4 else 3 end from customer""")
+def link_counts_soft(spark, sf_dir):
+    """Soft links through a group's second hard link, through other soft links, and from a group that nothing reaches; some lead nowhere."""
+    tree = _tree(spark, sf_dir)
+    customer, nation, root = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"), uid(F.lit("root"))
+    key = F.col("c_custkey")
+    links = tree.links.unionByName(_link_rows(nation, root, F.concat(F.lit("n"), F.col("n_nationkey")), G.HARD, collection=F.lit("groups"), id=uid(F.concat(F.lit("nation/"), F.col("n_nationkey")))))
+    links = links.unionByName(_link_rows(customer, root, F.concat(F.lit("s"), key), G.SOFT, h5path=F.concat(F.lit("/n"), F.col("c_nationkey"), F.lit("/"), F.col("c_name"))))
+    links = links.unionByName(_link_rows(customer.where(key % 2 == 0), root, F.concat(F.lit("t"), key), G.SOFT, h5path=F.concat(F.lit("s"), key)))
+    links = links.unionByName(_link_rows(customer, F.lit("island"), F.concat(F.lit("u"), key), G.SOFT, h5path=F.concat(F.lit("/s"), key)))
+    links = links.unionByName(_link_rows(customer, root, F.concat(F.lit("v"), key), G.SOFT, h5path=F.concat(F.lit("nowhere/"), key)))
+    return G.link_counts(tree.with_(links=links)).select("uuid", "n")
+
+
+_PAGED = "(select 'o' || o_orderkey as uuid, case when o_orderkey in (select l_orderkey from lineitem) then 0 else 1 end as loose from orders)"
+
+
+@query(f"select uuid from {_PAGED} where loose = 1 or uuid > (select uuid from {_PAGED} where loose = 0 order by uuid desc limit 1 offset 1) order by loose, uuid limit 5")
+def collection_next_page(spark, sf_dir):
+    """A page that goes on from linked objects into anonymous ones."""
+    tree = _orders(spark, sf_dir)
+    marker = tree.datasets.join(tree.links.select(F.col("id").alias("uuid")), "uuid", "left_semi").orderBy(F.desc("uuid")).limit(2).agg(F.min("uuid")).first()[0]
+    return G.collection_page(tree, "datasets", marker, 5).select("uuid")
+
+
+@query(f"""select 'alias' as title, 'H5L_TYPE_HARD' as class, 'datasets/' || {_C} as href, null as h5path, null as file from customer where c_custkey = 5
+union all select 'soft', 'H5L_TYPE_SOFT', null, '/fresh/alias', null union all select 'away', 'H5L_TYPE_EXTERNAL', null, '/x', 'other'""")
+def link_changes(spark, sf_dir):
+    """A group is made, and links of three kinds in it."""
+    child = table(spark, sf_dir, "customer").where("c_custkey = 5").select(uid(F.concat(F.lit("customer/"), F.col("c_custkey")))).first()[0]
+    tree = G.create_group(_tree(spark, sf_dir), "star", "fresh")
+    tree = G.external_link(G.soft_link(G.link_object(tree, "star", "fresh", child, "alias"), "star", "fresh", "/fresh/alias", "soft"), "star", "fresh", "other", "/x", "away")
+    return G.link_page(tree, "fresh").select("title", "class", "href", "h5path", "file")
+
+
+@query(f"""select 'linked' as name, 'datasets' as collection, true as hard from customer where c_custkey = 3 union all select 'root', 'groups', false union all select 'unknown', null, false""")
+def object_tests(spark, sf_dir):
+    """The collection of objects, and whether a hard link names them."""
+    tree = _tree(spark, sf_dir)
+    ids = spark.range(1).select(uid(F.lit("customer/3")).alias("linked"), uid(F.lit("root")).alias("root"), F.lit("nothing").alias("unknown")).first().asDict()
+    return spark.createDataFrame([(k, G.collection_of(tree, v), G.is_hard_linked(tree, v)) for k, v in ids.items()], "name string, collection string, hard boolean")
+
+
+@query(f"select {_C} as uuid, cast(c_custkey as varchar) as value_json from customer where c_custkey = 11")
+def object_by_uuid(spark, sf_dir):
+    wanted = spark.range(1).select(uid(F.lit("customer/11"))).first()[0]
+    return G.object_row(_tree(spark, sf_dir), "datasets", wanted).select("uuid", "value_json")
+
+
+@query("select 't' || n_nationkey as uuid, 1 as attribute_count, n_name as value, case when n_nationkey % 2 = 0 then 'H5T_STD_I16LE' else 'H5T_STD_U8LE' end as base from nation")
+def datatypes_round_trip(spark, sf_dir):
+    """Named types with an attribute each, written as a document and read again."""
+    nation, blank = table(spark, sf_dir, "nation"), D.empty(spark, "root", "types")
+    key, file = F.concat(F.lit("t"), F.col("n_nationkey")), F.lit("types").alias("file_id")
+    base = F.when(F.col("n_nationkey") % 2 == 0, "H5T_STD_I16LE").otherwise("H5T_STD_U8LE")
+    kinds = nation.select(file, key.alias("uuid"), F.array(F.concat(F.lit("/"), key)).alias("alias"), F.concat(F.lit('{"class":"H5T_INTEGER","base":"'), base, F.lit('"}')).alias("type_json"))
+    text = F.lit('{"class":"H5T_STRING","charSet":"H5T_CSET_UTF8","length":"H5T_VARIABLE","strPad":"H5T_STR_NULLTERM"}')
+    named = nation.select(file, F.lit("datatypes").alias("owner_collection"), key.alias("owner_uuid"), F.lit(0).alias("ordinal"), F.lit("name").alias("name"), text.alias("type_json"), spaces.shape_column(F.array().cast("array<bigint>")).cast(spaces.SHAPE).alias("shape"), F.col("n_name").alias("value_json"))
+    back = D.from_texts(W.dump(blank.with_(datatypes=kinds, attributes=named), linked_only=False))
+    values = back.attributes.select(F.col("owner_uuid").alias("uuid"), F.col("value_json").alias("value"))
+    return G.datatype_items(back).join(values, "uuid").select("uuid", "attribute_count", "value", F.get_json_object("type_json", "$.base").alias("base"))
+
+
+@query(f"""select {_C} as owner, 'value' as name, cast(c_custkey as varchar) as text from customer union all select {_C}, 'key', cast(c_custkey as varchar) from customer
+union all select {_C}, 'nation', cast(c_nationkey as varchar) from customer union all select {_C}, 'segment', c_mktsegment from customer""")
+def document_contents(spark, sf_dir):
+    """All values and attributes, after the tree was written as one document and read again."""
+    back = D.from_texts(W.dump(_tree(spark, sf_dir)))
+    values = back.datasets.select(F.col("uuid").alias("owner"), F.lit("value").alias("name"), F.col("value_json").alias("text"))
+    return values.unionByName(back.attributes.select(F.col("owner_uuid").alias("owner"), "name", F.col("value_json").alias("text")))
+
+
+@query(f"select parent, title, child from (select {sql_uid(chr(39) + 'root' + chr(39))} as parent, r_name as title, {_R} as child from region union all select {sql_uid(chr(39) + 'region/' + chr(39) + ' || n_regionkey')}, n_name, {_N} from nation union all select {sql_uid(chr(39) + 'nation/' + chr(39) + ' || c_nationkey')}, c_name, {_C} from customer)")
+def links_round_trip(spark, sf_dir):
+    back = D.from_texts(W.dump(_tree(spark, sf_dir)))
+    return back.links.select(F.col("group_uuid").alias("parent"), "title", F.col("id").alias("child"))
+
+
+@query("select 'segment' as name, c_mktsegment as value_json, 'H5T_STRING' as class from customer where c_custkey = 5")
+def attribute_read(spark, sf_dir):
+    owner = spark.range(1).select(uid(F.lit("customer/5"))).first()[0]
+    return M.attribute(_tree(spark, sf_dir), owner, "segment").select("name", "value_json", F.get_json_object("type_json", "$.class").alias("class"))
+
+
+@query("select 'key' as name, '12' as value from customer where c_custkey = 5 union all select 'note', substr(c_mktsegment, 1, 5) from customer where c_custkey = 5 union all select 'segment', c_mktsegment from customer where c_custkey = 5")
+def attribute_changes(spark, sf_dir):
+    """One attribute replaced, a string of fixed length made, one taken away."""
+    customer = table(spark, sf_dir, "customer").where("c_custkey = 5").select(uid(F.lit("customer/5")).alias("u"), "c_mktsegment").first()
+    tree = M.set_attribute(_tree(spark, sf_dir), "star", "datasets", customer.u, "key", {"class": "H5T_INTEGER", "base": "H5T_STD_I64LE"}, (), 12)
+    tree = M.set_string_attribute(tree, "star", "datasets", customer.u, "note", customer.c_mktsegment, 6)
+    tree = M.delete_attribute(tree, "star", customer.u, "nation", 1)
+    return tree.attributes.where(F.col("owner_uuid") == customer.u).select("name", F.col("value_json").alias("value"))
+
+
+@query("select 'a' as name, 'H5D_CHUNKED' as layout, cast(count(*) as varchar) || ',64' as dims from embeddings union all select 'b', 'H5D_COMPACT', cast(count(*) as varchar) from part")
+def dataset_create(spark, sf_dir):
+    """Datasets of tables' extents: filters bring chunks; properties that are there stay."""
+    n, m = table(spark, sf_dir, "embeddings").count(), table(spark, sf_dir, "part").count()
+    t = M.create_dataset(D.empty(spark, "root", "f"), "f", "a", {"class": "H5T_FLOAT", "base": "H5T_IEEE_F32LE"}, [n, 64], properties={"filters": [{"id": 1, "level": 4}]})
+    t = M.create_dataset(t, "f", "b", {"class": "H5T_INTEGER", "base": "H5T_STD_I32LE"}, [m])
+    t = M.set_creation_properties(t, "f", "b", {"layout": {"class": "H5D_COMPACT"}})
+    t = M.set_creation_properties(t, "f", "b", {"layout": {"class": "H5D_CONTIGUOUS"}})
+    shapes = t.datasets.select("uuid", F.array_join(F.col("shape.dims").cast("array<string>"), ",").alias("dims"))
+    return M.creation_properties(t.datasets).join(shapes, "uuid").select(F.col("uuid").alias("name"), "layout", "dims")
+
+
+@query("""select 'o' || o_orderkey as uuid, case when o_orderkey % 3 = 0 then o_orderkey else 77 end as created, case when o_orderkey % 3 <> 0 then 99 when o_orderkey % 2 = 0 then o_orderkey + 5 else o_orderkey end as modified from orders""")
+def time_fallback(spark, sf_dir):
+    """An object's own times, else its root's."""
+    key, orders = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    names = [F.lit("f").alias("file_id"), F.concat(F.lit("o"), key).alias("uuid"), F.lit("object").alias("obj_type"), F.lit(None).cast("string").alias("name")]
+    t = M.touch(M.touch(D.empty(spark, "root", "f"), "f", "root", ctime=77, mtime=80), "f", "root", mtime=99)
+    times = t.times.unionByName(orders.where(key % 3 == 0).select(*names, key.alias("ctime"), F.when(key % 2 == 0, key + 5).alias("mtime")))
+    return M.resolved_times(orders.select(*names), times, t.files.select("file_id", "root")).select("uuid", "created", "modified")
+
+
+@query("select 'n3' as obj, c_custkey % 3 as userid, min(c_custkey % 2) as read, (select count(distinct c_custkey % 3) from customer where c_nationkey = 3) as n from customer where c_nationkey = 3 group by 2")
+def acl_list(spark, sf_dir):
+    """The rules of one object, and their number."""
+    flags = lambda c: [c.cast("tinyint").alias(x) for x in M.FLAGS]
+    own = table(spark, sf_dir, "customer").groupBy(F.concat(F.lit("n"), F.col("c_nationkey")).alias("obj_uuid"), (F.col("c_custkey") % 3).cast("int").alias("userid")).agg(F.min(F.col("c_custkey") % 2).alias("f"))
+    t = D.empty(spark, "root", "f").with_(acls=own.select(F.lit("f").alias("file_id"), "obj_uuid", "userid", *flags(F.col("f"))))
+    return M.acls(t, "n3").select(F.col("obj_uuid").alias("obj"), "userid", F.col("read").cast("int").alias("read"), F.lit(M.acl_count(t, "n3")).alias("n"))
+
+
+@query("select event_id, value as f64, cast(value as float) as f32, -value as back from events")
+def raw_floats(spark, sf_dir):
+    """Floats as raw bytes and back, in both orders and widths."""
+    value = F.col("value").cast("double")
+    trip = lambda x, base: codec.hex_float(codec.float_hex(x, base), base)
+    return table(spark, sf_dir, "events").select("event_id", trip(value, "H5T_IEEE_F64BE").alias("f64"), trip(value, "H5T_IEEE_F32LE").alias("f32"), trip(-value, "H5T_IEEE_F64LE").alias("back"))
+
+
+_RAW = {"class": "H5T_COMPOUND", "fields": [{"name": "key", "type": "H5T_STD_I32BE"}, {"name": "price", "type": "H5T_IEEE_F64LE"}, {"name": "kind", "type": {"class": "H5T_STRING", "length": 6}}, {"name": "pair", "type": {"class": "H5T_ARRAY", "base": "H5T_STD_I16LE", "dims": [2]}}, {"name": "small", "type": {"class": "H5T_ENUM", "base": "H5T_STD_I8LE", "members": [{"name": "FALSE", "value": 0}, {"name": "TRUE", "value": 1}]}}]}
+
+
+@query("select p_partkey, p_partkey as key, cast(p_retailprice as double) as price, substr(p_type, 1, 6) as kind, -p_size as second, p_size > 25 as small, 4 + 8 + 6 + 4 + 1 as n_bytes from part")
+def raw_records(spark, sf_dir):
+    """Records of numbers, strings, arrays and enumerations as raw bytes and back."""
+    key, size = F.col("p_partkey").cast("int"), F.col("p_size").cast("int")
+    raw = codec.value_hex(F.struct(key.alias("key"), F.col("p_retailprice").cast("double").alias("price"), F.col("p_type").alias("kind"), F.array(size, -size).alias("pair"), (size > 25).alias("small")), _RAW)
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.unhex(raw).alias("raw"))
+    back = rows.select("p_partkey", F.octet_length("raw").alias("n_bytes"), F.get(codec.read_raw(F.col("raw"), _RAW, 1), F.lit(0)).alias("r"))
+    return back.select("p_partkey", F.col("r.key").alias("key"), F.col("r.price").alias("price"), F.col("r.kind").alias("kind"), F.get("r.pair", F.lit(1)).alias("second"), F.col("r.small").alias("small"), "n_bytes")
+
+
+@query(f"select s.i0, coalesce(2 * b.value, s.value) as value from {_SIZES} s left join {_SIZES} b on s.i0 >= 20 and s.i0 < 44 and s.i0 % 2 = 0 and b.i0 = (s.i0 - 20) / 2 + 1")
+def write_raw_slab(spark, sf_dir):
+    """Raw bytes of twelve numbers, written to every other place of a hyperslab."""
+    sizes = _sizes(spark, sf_dir)
+    block = sizes.where("i0 between 1 and 12").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i0", "value"))), lambda x: codec.integer_hex(x["value"] * 2, "H5T_STD_I16LE")), "").alias("h"))
+    new = S.from_raw(block.select(F.unhex("h").alias("raw")), "raw", "H5T_STD_I16LE", [S.slab("20:44:2", 200)])
+    return S.write_slab(sizes, new.select("i0", F.col("value").cast("int").alias("value")), ["i0"])
+
+
+#: A document's dataset in ten forms: what is put in for its key, alias, type, shape and properties; and the rule that breaks.
+_FORMS = [
+    ({}, None),
+    ({"key": "12"}, "a key is a uuid"),
+    ({"alias": "x/y"}, "an alias is a path"),
+    ({"type": '{"class":"H5T_TIME"}'}, "no such class of types: H5T_TIME"),
+    ({"shape": '{"class":"H5S_SIMPLE","dims":[-1]}'}, "a simple space has extents of 0 or more"),
+    ({"shape": '{"class":"H5S_SCALAR","dims":[1]}'}, "only a simple space has extents"),
+    ({"props": '{"layout":{"class":"H5D_CHUNKED","dims":[2]},"filters":[{"class":"H5Z_FILTER_DEFLATE","id":1,"level":12}]}'}, "a filter is malformed"),
+    ({"props": '{"layout":{"class":"H5D_CHUNKED","dims":[0]}}'}, "a chunked layout has extents over 0"),
+    ({"props": '{"layout":{"class":"H5D_COMPACT"},"allocTime":"never"}'}, "no such allocation time"),
+    ({"type": '{"class":"H5T_STRING","length":3,"strPad":"H5T_STR_ODD"}'}, "no such padding or character set"),
+]
+
+
+@query("select 'e' || event_id as file_id, event_id % 10 = 0 as valid, case event_id % 10 " + " ".join(f"when {k} then '{rule}'" for k, (_, rule) in enumerate(_FORMS) if rule) + " end as rule from events")
+def validate_rules(spark, sf_dir):
+    """Every event's document breaks one of nine rules, or none."""
+    usual = {"key": "0a1b2c3d-0000-1111-2222-333344445555", "alias": "/x", "type": '{"class":"H5T_INTEGER","base":"H5T_STD_I8LE"}', "shape": '{"class":"H5S_SIMPLE","dims":[2]}', "props": '{"layout":{"class":"H5D_CONTIGUOUS"}}'}
+    texts = []
+    for change, _ in _FORMS:
+        f = usual | change
+        texts.append('{"apiVersion":"1.1.1","root":"r","groups":{"r":{}},"datasets":{"%s":{"alias":["%s"],"type":%s,"shape":%s,"creationProperties":%s}}}' % (f["key"], f["alias"], f["type"], f["shape"], f["props"]))
+    docs = table(spark, sf_dir, "events").select(F.concat(F.lit("e"), F.col("event_id")).alias("file_id"), F.get(F.array(*map(F.lit, texts)), (F.col("event_id") % len(texts)).cast("int")).alias("text"))
+    return V.validate(docs).select("file_id", "valid", F.get("violations", F.lit(0))["rule"].alias("rule"))
+
+
+#: Names under which queries over whole tables were known beside cut ones.
+for _name in ("hyperslab_nested", "resize_fill", "fill_missing", "nested_again", "validate_docs"):
+    QUERIES[f"{_name}_whole"], ORACLE[f"{_name}_whole"] = QUERIES[_name], ORACLE[_name]

@@ -6,7 +6,6 @@ never parses the arrays, and columns that aren't used are pruned.
 
 from __future__ import annotations
 
-import os
 import tempfile
 from dataclasses import dataclass, fields, replace
 
@@ -142,10 +141,14 @@ def load(spark: SparkSession, path: str) -> Tables:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir, or one of our own where it is unset."""
+    """Use the folder in spark.checkpoint.dir; where it is unset, one of our own if all runs on this machine, as in tests."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "treeslab-checkpoints"))
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="treeslab-checkpoints-"))
 
 
 def version_info(spark: SparkSession) -> DataFrame:
