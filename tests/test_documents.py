@@ -313,3 +313,27 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert cli.main(["validate", str(folder)], spark) == 0
     assert cli.main(["validate", "-s", str(tmp_path / "bad.json"), str(folder)], spark) == 1
     assert "FAIL" in capsys.readouterr().out
+
+
+def test_types_of_bits():
+    layout = {"size": 4, "precision": 17, "bitOffset": 3, "byteOrder": "H5T_ORDER_BE"}
+    good = [
+        {"class": "H5T_INTEGER", **layout, "signType": "H5T_SGN_2"},
+        {"class": "H5T_FLOAT", **layout, "expBits": 8, "mantNorm": "H5T_NORM_IMPLIED"},
+        {"class": "H5T_BITFIELD", **layout, "lsbPad": "H5T_PAD_ONE"},
+        {"class": "H5T_BITFIELD", "base": "H5T_STD_U16LE"},
+    ]
+    assert [V.type_problem(x) for x in good] == [None] * len(good)
+    without = lambda x, name: {k: v for k, v in x.items() if k != name}
+    bad = [
+        without(good[0], "precision"), good[0] | {"byteOrder": "H5T_ORDER_VAX"}, good[0] | {"bitOffset": -1}, good[0] | {"signType": "odd"}, {"class": "H5T_INTEGER"},
+        good[1] | {"expBits": 0}, good[1] | {"mantNorm": ""}, good[1] | {"other": 1}, without(good[2], "byteOrder"), good[2] | {"size": True}, good[3] | {"base": "H5T_IEEE_F32LE"}, {"class": "H5T_BITFIELD"},
+    ]
+    assert all(V.type_problem(x) for x in bad), [V.type_problem(x) for x in bad]
+
+
+def test_soft_links_in_circles(spark):
+    t = D.empty(spark, "root", "f")
+    t = G.soft_link(G.soft_link(t, "f", "root", "/b", "a"), "f", "root", "a", "b")
+    with pytest.raises(Exception, match="soft links"):
+        G.resolve(t, "/a")

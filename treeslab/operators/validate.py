@@ -29,6 +29,32 @@ SCALES = ["H5Z_SO_FLOAT_DSCALE", "H5Z_SO_FLOAT_ESCALE", "H5Z_SO_INT"]
 CODINGS = ["H5_SZIP_EC_OPTION_MASK", "H5_SZIP_NN_OPTION_MASK"]
 
 
+# Bit layouts of numbers of the user's own. (Fixed values.) Words and what they may be; numbers and the least that they may be.
+PADS = ("H5T_PAD_ZERO", "H5T_PAD_ONE", "H5T_PAD_BACKGROUND")
+LAYOUT_WORDS = {"byteOrder": ("H5T_ORDER_LE", "H5T_ORDER_BE"), "lsbPad": PADS, "msbPad": PADS}
+LAYOUT_NUMBERS = {"size": 1, "precision": 1, "bitOffset": 0}
+FLOAT_WORDS = {"intlbPad": PADS, "msbitPad": PADS, "mantNorm": ("H5T_NORM_IMPLIED", "H5T_NORM_MSBSET", "H5T_NORM_NONE")}
+FLOAT_NUMBERS = {"expBias": 1, "expBits": 1, "expBitPos": 1, "mantBits": 1, "mantBitPos": 0, "signBitPos": 1}
+SIGNS = {"signType": ("H5T_SGN_NONE", "H5T_SGN_2")}
+
+
+def _layout_problem(item: dict, kind: str) -> str | None:
+    """What is wrong with a number type that is described by its bits."""
+    words = LAYOUT_WORDS | (FLOAT_WORDS if kind == "H5T_FLOAT" else SIGNS if kind == "H5T_INTEGER" else {})
+    numbers = LAYOUT_NUMBERS | (FLOAT_NUMBERS if kind == "H5T_FLOAT" else {})
+    for name in (*LAYOUT_NUMBERS, *(["byteOrder"] if kind == "H5T_BITFIELD" else [])):
+        if name not in item:
+            return f"a type of bits has {name}"
+    for name, value in item.items():
+        if name in words and value not in words[name]:
+            return f"no such {name}"
+        if name in numbers and (not isinstance(value, int) or isinstance(value, bool) or value < numbers[name]):
+            return f"{name} is a whole number of {numbers[name]} or more"
+        if name not in words and name not in numbers and name != "class" and kind != "H5T_INTEGER":
+            return f"a type of bits has no {name}"
+    return None
+
+
 def type_problem(item: Any) -> str | None:
     """What is wrong with a type descriptor, or None."""
     if isinstance(item, str):
@@ -44,7 +70,7 @@ def type_problem(item: Any) -> str | None:
                 letter, bits, _ = Y.number(item["base"])
                 fits = (letter == "F") == (kind == "H5T_FLOAT") and bits in ((32, 64) if letter == "F" else (8, 16, 32, 64)) and item["base"][-2:] in ("LE", "BE")
                 return None if fits else "no such number type"
-            return None if "bitOrder" in item or "byteOrder" in item else "a number type has a base"
+            return _layout_problem(item, kind) if {"size", "precision", "bitOffset", "byteOrder"} & set(item) else "a number type has a base"
         if kind == "H5T_STRING":
             length = item.get("length")
             if not (length == Y.VARIABLE or (whole(length) and length > 0)):
@@ -80,7 +106,10 @@ def type_problem(item: Any) -> str | None:
         if kind == "H5T_REFERENCE":
             return None if item.get("base") in ("H5T_STD_REF_OBJ", "H5T_STD_REF_DSETREG") else "no such reference"
         if kind == "H5T_BITFIELD":
-            return None if "base" in item or "size" in item else "a bit field has a base"
+            if isinstance(item.get("base"), str):
+                letter, bits, _ = Y.number(item["base"])
+                return None if letter != "F" and bits in (8, 16, 32, 64) and item["base"][-2:] in ("LE", "BE") else "no such bit field"
+            return _layout_problem(item, kind) if "size" in item else "a bit field has a base"
     except (KeyError, TypeError, ValueError, AttributeError) as error:
         return str(error)
     return f"no such class of types: {kind}"
@@ -177,7 +206,7 @@ def violations(tables: Tables) -> DataFrame:
 
 def validate(texts: DataFrame) -> DataFrame:
     """file_id, valid, violations of each text (file_id, text); a text that is no document is invalid."""
-    broken = violations(from_texts(texts)).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("place", "rule"))).alias("violations"))
+    broken = violations(from_texts(texts, once=True)).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("place", "rule"))).alias("violations"))
     doc = F.from_json("text", "struct<root: string, apiVersion: string>")
     rows = texts.select("file_id", F.coalesce(doc["root"].isNotNull(), F.lit(False)).alias("document"))
     out = rows.join(broken, "file_id", "left")

@@ -6,7 +6,9 @@ never parses the arrays, and columns that aren't used are pruned.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,14 +86,18 @@ def texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
         raise
 
 
-def from_texts(rows: DataFrame, strict: bool = False) -> Tables:
-    """Tables of JSON texts (file_id, text). A text that is no document gives no rows; strict: it fails."""
+def from_texts(rows: DataFrame, strict: bool = False, once: bool = False) -> Tables:
+    """Tables of JSON texts (file_id, text). A text that is no document gives no rows; strict: it fails.
+
+    Each table parses the texts when it is read, only as far as it needs. once: for a caller that reads all tables, the texts are parsed
+    into Parquet in the checkpoint folder first.
+    """
     doc = F.from_json("text", DOCUMENT)
     parsed = rows.select("file_id", doc.alias("d"))
     good = F.col("d.root").isNotNull()
     if strict:
         good = F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no document: "), F.col("file_id"))).cast("boolean"))
-    parsed = parsed.where(good)
+    parsed = kept(parsed.where(good)) if once else parsed.where(good)
 
     def each(collection: str) -> DataFrame:
         return parsed.select("file_id", F.explode(f"d.{collection}").alias("uuid", "o"))
@@ -151,5 +157,21 @@ def checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="treeslab-checkpoints-"))
 
 
+def kept(frame: DataFrame) -> DataFrame:
+    """A frame written to the checkpoint folder and read again; the files go when the driver's interpreter ends."""
+    spark = frame.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/kept-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    atexit.register(_removed, spark, path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def version_info(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(CURRENT, spark.version)], "api_version string, engine_version string")
