@@ -36,7 +36,7 @@ def test_lines_are_told_apart(spark, sf_dir):
     rows, labels = [], []
     for k in range(160):
         if k % 4 == 3:
-            rows.append((k, "\n".join(f"{line(1)} | {head} | BUY!! NOW!! {line(2)} | {k}" for _ in range(4))))
+            rows.append((k, "\n".join(" | ".join(w.upper() + "!!" for w in rng.choice(words, 9)) for _ in range(4))))  # passes the base rules, so it trains
         else:
             rows.append((k, "\n".join([head, *(line(int(n)) for n in rng.integers(8, 25, 5)), foot[k % 2]])))
         labels.append((k, int(k % 4 != 3)))

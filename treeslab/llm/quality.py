@@ -36,7 +36,7 @@ PADDED_LINES = 1 << 19
 #: Least share of a document's words that lie in content lines.
 CONTENT_SHARE = 0.5
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", dtype=np.uint8))
-N_FEATURES = 15
+N_FEATURES = 18
 #: A line is boilerplate if it stands in so many different documents, by their least shingles, and these are half of all it stands in.
 MANY = 3
 #: Words of notices and menus. (Fixed values.)
@@ -81,9 +81,14 @@ def features(data: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray
     x[:, 11] = n <= 3
     low = B.LOWER[data]
     begin, stop, of = B.words(low, at, B.NOT_ALNUM)
-    x[:, 12] = np.minimum(1, 3 * _counts(np.isin(B.word_hashes(low, begin, stop), _notices()), of) / np.maximum(1, np.diff(of)))
+    hashes = B.word_hashes(low, begin, stop)
+    x[:, 12] = np.minimum(1, 3 * _counts(np.isin(hashes, _notices()), of) / np.maximum(1, np.diff(of)))
+    x[:, 17] = _counts(np.r_[False, hashes[1:] == hashes[:-1]][: len(hashes)], of) / np.maximum(1, np.diff(of))  # words like the one before them
     ends = np.cumsum(counts)[counts > 0]
     x[:, 13:15] = 0
+    text = np.repeat(np.arange(len(counts)), counts)
+    x[:, 15] = n / np.bincount(text, weights=n, minlength=len(counts))[text]  # a line's share of its text's words
+    x[:, 16] = 1 / counts[text]
     x[(ends - counts[counts > 0]), 13] = 1
     x[ends - 1, 14] = 1
     return x
