@@ -14,6 +14,7 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeslab.functions.codec import let
 from treeslab.functions.spaces import SHAPE
 
 ATTRIBUTE = f"struct<name: string, type: string, shape: {SHAPE}, value: string>"
@@ -24,6 +25,8 @@ DOCUMENT = (
     f" datasets: map<string, struct<alias: array<string>, type: string, shape: {SHAPE}, creationProperties: string, value: string, attributes: array<{ATTRIBUTE}>>>,"
     f" datatypes: map<string, struct<alias: array<string>, type: string, attributes: array<{ATTRIBUTE}>>>>"
 )
+#: A line of a document: its head, objects, or links and attributes of an object, the first of which stands at place.
+LINE = f"{DOCUMENT[:-1]}, place: int>"
 VERSIONS = ("1.0.0", "1.1.0", "1.1.1")
 CURRENT = "1.1.1"
 TIME = "file_id string, uuid string, obj_type string, name string, ctime bigint, mtime bigint"
@@ -97,22 +100,44 @@ def from_texts(rows: DataFrame, strict: bool = False, once: bool = False) -> Tab
     good = F.col("d.root").isNotNull()
     if strict:
         good = F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no document: "), F.col("file_id"))).cast("boolean"))
-    parsed = kept(parsed.where(good)) if once else parsed.where(good)
+    return _tables(kept(parsed.where(good)) if once else parsed.where(good))
+
+
+def from_lines(rows: DataFrame, once: bool = False) -> Tables:
+    """Tables of documents in lines (file_id, text), as writer.dump_lines makes them, in any order. A line that is no part of a document fails.
+
+    once: as in from_texts.
+    """
+    wrong = F.raise_error(F.concat(F.lit("no line of a document: "), F.col("file_id")))
+    part = let(F.from_json("text", LINE), lambda d: F.when(F.coalesce(*(F.when(d[x].isNotNull(), True) for x in ("root", "groups", "datasets", "datatypes")), F.lit(False)), d).otherwise(wrong))
+    parsed = rows.select("file_id", part.alias("d"))
+    return _tables(kept(parsed) if once else parsed, F.col("d.place"))
+
+
+def _tables(parsed: DataFrame, place: Column | None = None) -> Tables:
+    """Tables of parsed documents (file_id, d). place: where the links and attributes of a line begin; null in lines that tell objects."""
+    place = F.lit(None).cast("int") if place is None else place
 
     def each(collection: str) -> DataFrame:
-        return parsed.select("file_id", F.explode(f"d.{collection}").alias("uuid", "o"))
+        return parsed.select("file_id", place.alias("place"), F.explode(f"d.{collection}").alias("uuid", "o"))
+
+    def entries(objects: DataFrame, name: str, *more: Column) -> DataFrame:
+        """The links or attributes of objects, with their ordinals."""
+        found = objects.select("file_id", "uuid", "place", *more, F.posexplode(f"o.{name}").alias("at", "x"))
+        return found.withColumn("ordinal", F.coalesce("place", F.lit(0)) + F.col("at"))
 
-    groups, datasets, datatypes = (each(x) for x in ("groups", "datasets", "datatypes"))
+    parts = [each(x) for x in ("groups", "datasets", "datatypes")]
+    groups, datasets, datatypes = (x.where("place is null") for x in parts)
     attributes = None
-    for name, frame in (("groups", groups), ("datasets", datasets), ("datatypes", datatypes)):
-        part = frame.select("file_id", F.lit(name).alias("owner_collection"), F.col("uuid").alias("owner_uuid"), F.posexplode("o.attributes").alias("ordinal", "a"))
-        part = part.select("file_id", "owner_collection", "owner_uuid", "ordinal", "a.name", F.col("a.type").alias("type_json"), _space(F.col("a.shape")).alias("shape"), F.col("a.value").alias("value_json"))
+    for name, frame in zip(("groups", "datasets", "datatypes"), parts):
+        part = entries(frame, "attributes", F.lit(name).alias("owner_collection")).withColumnRenamed("uuid", "owner_uuid")
+        part = part.select("file_id", "owner_collection", "owner_uuid", "ordinal", "x.name", F.col("x.type").alias("type_json"), _space(F.col("x.shape")).alias("shape"), F.col("x.value").alias("value_json"))
         attributes = part if attributes is None else attributes.unionByName(part)
-    spark = rows.sparkSession
+    spark = parsed.sparkSession
     return Tables(
-        files=parsed.select("file_id", F.col("d.apiVersion").alias("api_version"), "d.root", "d.id", "d.created", F.col("d.lastModified").alias("last_modified"), F.col("d.creationProperties").alias("creation_properties")),
+        files=parsed.where("d.root is not null").select("file_id", F.col("d.apiVersion").alias("api_version"), "d.root", "d.id", "d.created", F.col("d.lastModified").alias("last_modified"), F.col("d.creationProperties").alias("creation_properties")),
         groups=groups.select("file_id", "uuid", "o.alias", "o.created", F.col("o.lastModified").alias("last_modified"), F.col("o.creationProperties").alias("creation_properties")),
-        links=groups.select("file_id", F.col("uuid").alias("group_uuid"), F.posexplode("o.links").alias("ordinal", "l")).select("file_id", "group_uuid", "ordinal", "l.*"),
+        links=entries(parts[0], "links").withColumnRenamed("uuid", "group_uuid").select("file_id", "group_uuid", "ordinal", "x.*"),
         datasets=datasets.select("file_id", "uuid", "o.alias", F.col("o.type").alias("type_json"), F.coalesce("o.shape", F.struct(F.lit("H5S_SCALAR").alias("class"), F.lit(None).alias("dims"), F.lit(None).alias("maxdims")).cast(SHAPE)).alias("shape"), F.col("o.creationProperties").alias("creation_properties"), F.col("o.value").alias("value_json")),
         datatypes=datatypes.select("file_id", "uuid", "o.alias", F.col("o.type").alias("type_json")),
         attributes=attributes,
