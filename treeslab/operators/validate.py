@@ -1,22 +1,26 @@
 """Documents against the format's rules: one row for each violation.
 
-Structural rules run as columns over the tables. Type descriptors are recursive; their distinct texts, few in any
+Structural rules run as columns, over tables or within the row of a text. Type descriptors are recursive; their distinct texts, few in any
 corpus, are checked by one function that the workers run on each distinct text.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeslab.functions import types as Y
+from treeslab.functions.codec import let
+from treeslab.functions.spaces import SHAPE
 from treeslab.operators.meta import FILTERS, USER_FILTER
-from treeslab.sources.documents import VERSIONS, Tables, from_texts
+from treeslab.sources.documents import DOCUMENT, VERSIONS, Tables
 
 UUID_RULE = r"^[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}$"
 # Names that the format allows. (Fixed values.)
@@ -115,21 +119,37 @@ def type_problem(item: Any) -> str | None:
     return f"no such class of types: {kind}"
 
 
+def text_problem(text: str | None) -> str | None:
+    """What is wrong with a type descriptor's text, or None."""
+    try:
+        return type_problem(json.loads(text) if text[:1] == "{" else text) if text else "a type is missing"
+    except ValueError:
+        return "a type is no JSON"
+
+
 def _type_problems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = []
-        for text in batch["type_json"]:
-            try:
-                found.append(type_problem(json.loads(text) if text[:1] == "{" else text) if text else "a type is missing")
-            except ValueError:
-                found.append("a type is no JSON")
-        yield batch.assign(problem=found)
+        yield batch.assign(problem=[text_problem(x) for x in batch["type_json"]])
+
+
+def _list_problems(lists: pa.Array) -> pa.Array:
+    """The problems of lists of types' texts; a text is looked at once in a batch."""
+    flat = lists.flatten()
+    coded = flat.dictionary_encode()
+    found = pa.array([text_problem(x) for x in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+    found = pc.if_else(flat.is_null(), pa.scalar(text_problem(None)), found)
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0)).cast(pa.int32())
+    return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), found)
+
+
+def _broken(rules: dict[str, Column]) -> Column:
+    """The names of broken rules; a rule that is null holds."""
+    return F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(True)), F.lit(name)) for name, ok in rules.items())), lambda x: x.isNotNull())
 
 
 def _rules(frame: DataFrame, where: Column, rules: dict[str, Column]) -> DataFrame:
-    """file_id, place, rule of broken rules; a rule that is null holds."""
-    broken = F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(True)), F.lit(name)) for name, ok in rules.items())), lambda x: x.isNotNull())
-    return frame.select("file_id", where.alias("place"), F.explode(broken).alias("rule"))
+    """file_id, place, rule of broken rules."""
+    return frame.select("file_id", where.alias("place"), F.explode(_broken(rules)).alias("rule"))
 
 
 def _all(items: Column, ok) -> Column:  # noqa: ANN001
@@ -147,13 +167,38 @@ def space_rules(shape: Column) -> dict[str, Column]:
     }
 
 
-def link_rules() -> dict[str, Column]:
-    kind, has = F.col("class"), lambda x: F.col(x).isNotNull()
+def file_rules(version: Column, root: Column) -> dict[str, Column]:
+    return {"no such version": F.coalesce(version.isin(*VERSIONS), F.lit(False)), "a root is missing": root.isNotNull()}
+
+
+def _is_path(x: Column) -> Column:
+    return x.rlike("^(/[^/]+)+$")
+
+
+def alias_rules(alias: Column, ok=_is_path) -> dict[str, Column]:  # noqa: ANN001
+    return {"an alias is a path": alias.isNull() | ((F.size(alias) > 0) & _all(alias, ok))}
+
+
+def group_rules(alias: Column) -> dict[str, Column]:
+    return alias_rules(alias, lambda x: _is_path(x) | (x == "/"))
+
+
+def key_rules(uuid: Column, alias: Column) -> dict[str, Column]:
+    return {"a key is a uuid": uuid.rlike(UUID_RULE)} | alias_rules(alias)
+
+
+def attribute_rules(name: Column, shape: Column) -> dict[str, Column]:
+    return {"an attribute has a name": F.coalesce(F.length(name) > 0, F.lit(False))} | space_rules(shape)
+
+
+def link_rules(of: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """of: a link's member by its name."""
+    kind, has = of("class"), lambda x: of(x).isNotNull()
     return {
-        "a link's title has no /": F.coalesce(F.col("title").rlike("^[^/]+$"), F.lit(False)),
+        "a link's title has no /": F.coalesce(of("title").rlike("^[^/]+$"), F.lit(False)),
         "no such class of links": F.coalesce(kind.isin("H5L_TYPE_HARD", "H5L_TYPE_SOFT", "H5L_TYPE_EXTERNAL", "H5L_TYPE_USER_DEFINED"), F.lit(False)),
-        "a hard link has a collection and an id": (kind != "H5L_TYPE_HARD") | (has("id") & F.coalesce(F.col("collection").isin("groups", "datasets", "datatypes"), F.lit(False))),
-        "a soft link has a path": (kind != "H5L_TYPE_SOFT") | F.coalesce(F.col("h5path").rlike("^(/?[^/]+)+$"), F.lit(False)),
+        "a hard link has a collection and an id": (kind != "H5L_TYPE_HARD") | (has("id") & F.coalesce(of("collection").isin("groups", "datasets", "datatypes"), F.lit(False))),
+        "a soft link has a path": (kind != "H5L_TYPE_SOFT") | F.coalesce(of("h5path").rlike("^(/?[^/]+)+$"), F.lit(False)),
         "an external link has a file and a path": (kind != "H5L_TYPE_EXTERNAL") | (has("file") & has("h5path")),
     }
 
@@ -187,16 +232,15 @@ def property_rules(p: Column) -> dict[str, Column]:
 
 def violations(tables: Tables) -> DataFrame:
     """file_id, place, rule of everything that breaks a rule."""
-    path = lambda x: x.rlike("^(/[^/]+)+$")
-    found = _rules(tables.files, F.lit("file"), {"no such version": F.coalesce(F.col("api_version").isin(*VERSIONS), F.lit(False)), "a root is missing": F.col("root").isNotNull()})
-    found = found.unionByName(_rules(tables.groups, F.concat(F.lit("groups/"), "uuid"), {"an alias is a path": F.col("alias").isNull() | ((F.size("alias") > 0) & _all(F.col("alias"), lambda x: path(x) | (x == "/")))}))
-    key = {"a key is a uuid": F.col("uuid").rlike(UUID_RULE), "an alias is a path": F.col("alias").isNull() | ((F.size("alias") > 0) & _all(F.col("alias"), path))}
+    found = _rules(tables.files, F.lit("file"), file_rules(F.col("api_version"), F.col("root")))
+    found = found.unionByName(_rules(tables.groups, F.concat(F.lit("groups/"), "uuid"), group_rules(F.col("alias"))))
+    key = key_rules(F.col("uuid"), F.col("alias"))
     props = F.from_json("creation_properties", PROPERTIES)
     found = found.unionByName(_rules(tables.datasets, F.concat(F.lit("datasets/"), "uuid"), key | space_rules(F.col("shape")) | property_rules(props)))
     found = found.unionByName(_rules(tables.datatypes, F.concat(F.lit("datatypes/"), "uuid"), key))
     found = found.unionByName(_rules(tables.links, F.concat_ws("/", F.lit("groups"), "group_uuid", F.lit("links"), F.col("ordinal").cast("string")), link_rules()))
     a = F.concat_ws("/", "owner_collection", "owner_uuid", F.lit("attributes"), F.col("ordinal").cast("string"))
-    found = found.unionByName(_rules(tables.attributes, a, {"an attribute has a name": F.coalesce(F.length("name") > 0, F.lit(False))} | space_rules(F.col("shape"))))
+    found = found.unionByName(_rules(tables.attributes, a, attribute_rules(F.col("name"), F.col("shape"))))
     typed = tables.datasets.select("file_id", F.concat(F.lit("datasets/"), "uuid").alias("place"), "type_json")
     typed = typed.unionByName(tables.datatypes.select("file_id", F.concat(F.lit("datatypes/"), "uuid").alias("place"), "type_json")).unionByName(tables.attributes.select("file_id", a.alias("place"), "type_json"))
     checked = typed.select("type_json").distinct().mapInPandas(_type_problems, "type_json string, problem string").where("problem is not null")
@@ -204,12 +248,52 @@ def violations(tables: Tables) -> DataFrame:
     return found.unionByName(bad)
 
 
+def _shape_or(shape: Column, name: str) -> Column:
+    return F.coalesce(shape, F.struct(F.lit(name).alias("class"), F.lit(None).alias("dims"), F.lit(None).alias("maxdims")).cast(SHAPE))
+
+
+def _checked(d: Column) -> Column:
+    """found (place and rule of broken rules, but for types) and typed (place and text of each type) of a parsed document, within its row."""
+    found, typed = [_placed(F.lit("file"), file_rules(d["apiVersion"], d["root"]))], []
+    for c in ("groups", "datasets", "datatypes"):
+        objects = F.map_entries(d[c])
+        each = lambda use, objects=objects, c=c: F.flatten(F.transform(objects, lambda e: F.coalesce(use(F.concat(F.lit(f"{c}/"), e["key"]), e["key"], e["value"]), F.array())))
+        inner = lambda name, use: lambda place, _, o: F.flatten(F.transform(o[name], lambda x, k: use(F.concat_ws("/", place, F.lit(name), k.cast("string")), x)))
+        if c == "groups":
+            found.append(each(lambda place, key, o: _placed(place, group_rules(o["alias"]))))
+            found.append(each(inner("links", lambda place, x: _placed(place, link_rules(lambda name: x[name])))))
+        elif c == "datasets":
+            rules = lambda place, key, o: let(F.from_json(o["creationProperties"], PROPERTIES), lambda p: _placed(place, key_rules(key, o["alias"]) | space_rules(_shape_or(o["shape"], "H5S_SCALAR")) | property_rules(p)))
+            found.append(each(rules))
+        else:
+            found.append(each(lambda place, key, o: _placed(place, key_rules(key, o["alias"]))))
+        found.append(each(inner("attributes", lambda place, x: _placed(place, attribute_rules(x["name"], _shape_or(x["shape"], "H5S_NULL"))))))
+        text = lambda place, x: F.array(F.struct(place.alias("place"), x["type"].alias("type_json")))
+        if c != "groups":
+            typed.append(each(lambda place, _, o: text(place, o)))
+        typed.append(each(inner("attributes", text)))
+    joined = lambda lists, kind: F.concat(*(F.coalesce(x, F.array().cast(kind)) for x in lists))
+    return F.struct(joined(found, FOUND).alias("found"), joined(typed, "array<struct<place: string, type_json: string>>").alias("typed"))
+
+
+FOUND = "array<struct<place: string, rule: string>>"
+
+
+def _placed(place: Column, rules: dict[str, Column]) -> Column:
+    return F.transform(_broken(rules), lambda name: F.struct(place.alias("place"), name.alias("rule")))
+
+
 def validate(texts: DataFrame) -> DataFrame:
-    """file_id, valid, violations of each text (file_id, text); a text that is no document is invalid."""
-    broken = violations(from_texts(texts, once=True)).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("place", "rule"))).alias("violations"))
-    doc = F.from_json("text", "struct<root: string, apiVersion: string>")
-    rows = texts.select("file_id", F.coalesce(doc["root"].isNotNull(), F.lit(False)).alias("document"))
-    out = rows.join(broken, "file_id", "left")
+    """file_id, valid, violations of each text (file_id, text); a text that is no document is invalid.
+
+    One pass without a shuffle: every rule is checked within the text's row.
+    """
+    parsed = let(F.from_json("text", DOCUMENT), lambda d: F.when(d["root"].isNotNull(), _checked(d)))
+    rows = texts.select("file_id", parsed.alias("d")).select("file_id", "d", F.coalesce("d.typed.type_json", F.array().cast("array<string>")).alias("types"))
+    problem = F.arrow_udf(_list_problems, "array<string>")
+    rows = rows.withColumn("problems", problem("types"))
+    typed = F.zip_with("d.typed", "problems", lambda t, problem: F.struct(t["place"].alias("place"), problem.alias("rule")))
+    found = F.sort_array(F.concat("d.found", F.filter(typed, lambda x: x["rule"].isNotNull())))
     none = F.array(F.struct(F.lit("file").alias("place"), F.lit("no document").alias("rule")))
-    faults = F.when(~F.col("document"), none).otherwise(F.coalesce("violations", F.array().cast("array<struct<place: string, rule: string>>")))
-    return out.select("file_id", faults.alias("violations")).select("file_id", (F.size("violations") == 0).alias("valid"), "violations")
+    out = rows.select("file_id", F.coalesce(found, none).alias("violations"))
+    return out.select("file_id", (F.size("violations") == 0).alias("valid"), "violations")
